@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: list[tuple[SparkSession, str]] = []
+_sent: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a setting the user made stays."""
+    """Prepare the session for Python stages: send this package to the executors, and keep Arrow batches of whole texts small.
+
+    Spark's file server hands the package out; a batch size the user set stays.
+    """
+    if spark.sparkContext.applicationId not in _sent:
+        _sent.add(spark.sparkContext.applicationId)
+        root, path = Path(__file__).resolve().parents[1], os.path.join(tempfile.mkdtemp(), "sluice.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, file.relative_to(root.parent))
+        spark.sparkContext.addPyFile(path)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

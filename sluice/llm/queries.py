@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import mixing, simhash, token_files, topk, url_filter
+from sluice.llm import mixing, quality, sentencepieces, simhash, token_counts, token_files, topk, toxicity, url_filter
 from sluice.llm._shared import scratch_path
 
 
@@ -33,6 +33,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_bits("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("ratio", 6).alias("ratio"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels").where(fold != 0))
+    found = toxicity.score(docs, model)
+    held_out = F.coalesce(fold == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    found = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    found = found.select("doc_id", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return token_files.with_crc32(found)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _read(spark, sf_dir, "labels")  # a page's outcome is the label of its number
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), 0)

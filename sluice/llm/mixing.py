@@ -99,13 +99,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """The documents of the mix, all columns kept: each as many times as it is taken."""
-    size, hashed, of = (free_name(docs, x) for x in ("mix_size", "mix_hash", "mix_source"))
+    hashed, of = free_name(docs, "mix_hash"), free_name(docs, "mix_source")
     cols = [F.col(f"`{c}`") for c in docs.columns]
     rows = save(docs.select(F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"), unit_hash(F.col(f"`{id_col}`")).alias("hash")), "mix-sizes")
     cuts, small = thresholds(rows, weights, max_repeats)
-    cuts = cuts.select(F.col("source").alias(of), "whole", "cut", "at_cut").alias("mix")
-    full = docs.withColumns({size: F.lit(1).cast("long"), hashed: unit_hash(F.col(f"`{id_col}`"))})
-    times = F.col("mix.whole") + F.coalesce((F.col(hashed) < F.col("mix.cut")) | ((F.col(hashed) == F.col("mix.cut")) & F.col("mix.at_cut")), F.lit(False)).cast("long")
+    whole, cut, at_cut = (free_name(docs, x) for x in ("mix_whole", "mix_cut", "mix_at_cut"))
+    cuts = cuts.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("cut").alias(cut), F.col("at_cut").alias(at_cut))
+    full = docs.withColumn(hashed, unit_hash(F.col(f"`{id_col}`")))
+    times = F.col(whole) + F.coalesce((F.col(hashed) < F.col(cut)) | ((F.col(hashed) == F.col(cut)) & F.col(at_cut)), F.lit(False)).cast("long")
     joined = full.join(F.broadcast(cuts) if small else cuts, F.col(f"`{source}`").eqNullSafe(F.col(of)))
     copies = free_name(docs, "mix_copy")
     picked = joined.withColumn(copies, times).where((F.col(copies) > 0) & (words(F.col(f"`{text}`")) > 0))

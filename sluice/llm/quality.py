@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import tune, utf8
+from sluice.llm._shared import free_name, tune, utf8
 
 #: (bytes up to, least ratio, most ratio); lengths beyond the last row use it.
 BANDS = ((128, 0.0, 2.5), (256, 0.0, 2.2), (512, 1.0, 2.2), (1024, 1.1, 2.3), (2048, 1.2, 2.4), (4096, 1.25, 2.5), (8192, 1.3, 2.7), (16384, 1.3, 2.9), (1 << 62, 1.3, 3.3))
@@ -83,9 +83,10 @@ def quality(docs: DataFrame, text: str = "text", bands=BANDS, chunk: int = CHUNK
     tune(docs.sparkSession)
     new = [x.split()[0] for x in _NEW.split(", ")]
     held = [c for c in docs.columns if c.lower() not in new]
-    rows = docs.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text}`").cast("string").alias("quality_text"))
+    body = free_name(docs, "body")
+    rows = docs.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text}`").cast("string").alias(body))
     schema = docs.sparkSession.createDataFrame([], _NEW).schema
-    full = rows.drop("quality_text").schema
+    full = rows.drop(body).schema
     for field in schema:
         full = full.add(field)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import tune
+from sluice.llm._shared import free_name, tune
 from sluice.llm.piece_model import PieceModel, load
 
 #: Bytes indexed at once; ids of pre-tokens and validities of pairs kept.
@@ -161,8 +161,9 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     with open(model_file, "rb") as f:
         content = f.read()  # half a megabyte, sent with the task: executors need no file
     held = [c for c in docs.columns if c != text and c.lower() not in ("ids", "decoded")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text}`").cast("string").alias("piece_text"))
-    schema = rows.drop("piece_text").withColumn("ids", F.array(F.lit(0))).withColumn("decoded", F.lit("")).schema
+    body = free_name(docs, "body")
+    rows = docs.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text}`").cast("string").alias(body))
+    schema = rows.drop(body).withColumn("ids", F.array(F.lit(0))).withColumn("decoded", F.lit("")).schema
 
     def run(batches):
         matcher, known = _matcher(content), {}

@@ -448,11 +448,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     drop(status, found)
     sweep(spark)
     new = ("n_bytes", "spans", "kept")
-    a, b = free_name(docs, "ua"), free_name(docs, "ub")
+    a, b, whole, hit = (free_name(docs, x) for x in ("ua", "ub", "body", "hit"))
     own = [c for c in docs.columns if c != text and c.lower() not in new]
-    full = docs.select(*[F.col(f"`{c}`") for c in own], body.alias("suffix_text"), keys["ua"].alias(a), keys["ub"].alias(b))
-    joined = full.join(spans.toDF(a, b, "suffix_spans"), [a, b], "left").select(*[F.col(f"`{c}`") for c in own], "suffix_text", "suffix_spans")
-    schema = joined.drop("suffix_text", "suffix_spans").schema
+    full = docs.select(*[F.col(f"`{c}`") for c in own], body.alias(whole), keys["ua"].alias(a), keys["ub"].alias(b))
+    joined = full.join(spans.toDF(a, b, hit), [a, b], "left").select(*[F.col(f"`{c}`") for c in own], whole, hit)
+    schema = joined.drop(whole, hit).schema
     for field in spark.createDataFrame([], "n_bytes long, spans array<struct<start: long, end: long>>, kept binary").schema:
         schema = schema.add(field)
     return joined.mapInArrow(_strip(len(own), length, [*own, *new], whole_chars), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import tune
+from sluice.llm._shared import free_name, tune
 from sluice.llm.piece_model import PieceModel, load
 
 #: Symbols in a sequence beyond which a heap merges it; symbols merged at once; counts kept.
@@ -70,8 +70,9 @@ def token_counts(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
     with open(model_file, "rb") as f:
         content = f.read()  # half a megabyte, sent with the task: executors need no file
     held = [c for c in docs.columns if c != text and c.lower() not in ("n_bytes", "n_tokens")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text}`").cast("string").alias("count_text"))
-    schema = rows.drop("count_text").withColumn("n_bytes", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema
+    body = free_name(docs, "body")
+    rows = docs.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text}`").cast("string").alias(body))
+    schema = rows.drop(body).withColumn("n_bytes", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def run(batches):
         model, known = load(content), {}

@@ -16,7 +16,7 @@ and salt. Whole blocks meet, never rows, and every query meets every candidate e
 Definitions: vectors that are null or hold null or non-finite components, and rows without id,
 take no part; an empty vector scores 0. A query's candidates are all rows of other ids with
 vectors of its length. Rows that repeat id and vector are one query, but each repeated row is a
-candidate. Ties go to the smaller id. Scores beyond 64 bits are held at its limits. An empty
+candidate. Ties go to the smaller id. Scores beyond 64 bits are held at its limits and rank as such. An empty
 table gives an empty result.
 """
 
@@ -110,9 +110,10 @@ def _search_wide(queries, query_ids, pool, pool_ids, k):
     out = []
     for i, q in enumerate(queries):
         own = [int(x) for x in q]
-        scored = sorted((-sum(a * b for a, b in zip(own, v)), int(p)) for v, p in zip(rows, pool_ids) if p != query_ids[i])[:k]
+        held = lambda s: max(-_LIMIT - 1, min(_LIMIT, s))
+        scored = sorted((-held(sum(a * b for a, b in zip(own, v))), int(p)) for v, p in zip(rows, pool_ids) if p != query_ids[i])[:k]
         if scored:
-            out.append((i, np.array([p for _, p in scored], np.int64), np.array([max(-_LIMIT - 1, min(_LIMIT, -s)) for s, _ in scored], np.int64)))
+            out.append((i, np.array([p for _, p in scored], np.int64), np.array([-s for s, _ in scored], np.int64)))
     return out
 
 

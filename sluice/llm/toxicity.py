@@ -11,7 +11,8 @@ each class where there are so many, those of smallest hash. Scoring takes every
 whole texts. Text is the only input of a score.
 
 Null and empty texts have no sentence and score 0. Rows whose label or id is null teach
-nothing. With labels of one class only, every document scores that class's share (smoothed).
+nothing. With labels of one class only, every text that is not empty scores
+that class's share (smoothed); without labels all score 0.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import tune
+from sluice.llm._shared import free_name, tune
 
 #: Hashed features, and the sample's bound.
 FEATURES, MAX_ROWS = 1 << 18, 6000
@@ -112,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
     row = sample.repartition(1).mapInArrow(run, "weights binary, bias double").first()
-    return (np.frombuffer(row["weights"], "<f4"), row["bias"]) if row else (np.zeros(FEATURES, np.float32), 0.0)
+    return (np.frombuffer(row["weights"], "<f4"), row["bias"]) if row else (np.zeros(FEATURES, np.float32), -np.inf)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", offending: float = 0.5) -> DataFrame:
@@ -121,8 +122,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     weights, bias = model
     flat = np.any(weights)
     held = [c for c in docs.columns if c != text and c.lower() not in ("score", "offending")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text}`").cast("string").alias("toxic_text"))
-    schema = rows.drop("toxic_text").schema
+    body = free_name(docs, "body")
+    rows = docs.select(*[F.col(f"`{c}`") for c in held], F.col(f"`{text}`").cast("string").alias(body))
+    schema = rows.drop(body).schema
     for field in docs.sparkSession.createDataFrame([], "score double, offending array<struct<start: int, end: int, score: double>>").schema:
         schema = schema.add(field)
 

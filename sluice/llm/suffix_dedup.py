@@ -13,6 +13,8 @@ bytes they cover.
 2.  By bucket, pieces equal in all their bytes are settled: all their windows repeat. Pieces
     alone in their bucket (and not periodic) are settled too: none does. What is left shares a
     gram with other pieces but not all its bytes.
+    A bucket that a look at a part of the documents shows to hold a large share of all pieces is
+    dealt out by content instead, its pieces taken to share it.
 3.  Only those pieces' bytes are fetched and dealt out by bucket. A bucket that holds very many
     is split by the bytes that all windows of a sub-bucket must share.
 4.  A task sorts one suffix bucket after another. Ties after the leading bytes are put in
@@ -134,6 +136,10 @@ def _items(texts: list[bytes], length: int):
 _PIECE = "route long, content long, kind int, ua long, ub long, first long, last long"
 #: Kinds of piece: alone in its task, periodic, one of several equal ones in its task, already settled.
 _ALONE, _PERIODIC, _SEVERAL, _SETTLED = range(4)
+#: Added to the kind of a piece in a heavy bucket: its route is a hash of bucket and content, its content the bucket.
+_HEAVY = 8
+#: A bucket is heavy with so many pieces in one of so many parts of the documents; at most so many are told apart.
+HEAVY_PIECES, HEAVY_PART, HEAVY_MOST = 5_000, 64, 100_000
 
 
 def _batch(columns, schema: str):
@@ -142,8 +148,8 @@ def _batch(columns, schema: str):
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "))], names=names)
 
 
-def _cut(length: int):
-    """Documents (ua, ub, text) to pieces, equal ones of a task combined."""
+def _cut(length: int, heavy: np.ndarray):
+    """Documents (ua, ub, text) to pieces, equal ones of a task combined; those of heavy buckets dealt by content."""
 
     def send(held):
         bucket, content, periodic, ua, ub, first, last = (np.concatenate(x) for x in zip(*held))
@@ -153,7 +159,10 @@ def _cut(length: int):
         kind = np.empty(len(order), np.int32)
         kind[order] = np.where(after, _SETTLED, np.where(before, _SEVERAL, np.where(periodic[order], _PERIODIC, _ALONE)))
         live = kind != _SETTLED
-        yield _batch([x[live] for x in (bucket.view(np.int64), content.view(np.int64), kind, ua, ub, first, last)], _PIECE)
+        mass = np.isin(bucket.view(np.int64), heavy)
+        route = np.where(mass, _mix(bucket * _U(0xD6E8FEB86659FD93) ^ content), bucket)
+        content = np.where(mass, bucket, content)
+        yield _batch([x[live] for x in (route.view(np.int64), content.view(np.int64), kind + _HEAVY * mass, ua, ub, first, last)], _PIECE)
         if not live.all():
             ua, ub, first, last = (x[~live] for x in (ua, ub, first, last))
             order = np.lexsort((first, ub, ua))
@@ -227,16 +236,18 @@ def _settle(hot: int):
                 continue
             order = np.lexsort((content, route))
             route, content, kind, ua, ub, first, last = (x[order] for x in (route, content, kind, ua, ub, first, last))
+            mass, kind = kind >= _HEAVY, kind % _HEAVY
+            bucket = np.where(mass, content, route)
             new_bucket = np.append(True, route[1:] != route[:-1])
             new_content = new_bucket | np.append(True, content[1:] != content[:-1])
             of_bucket, of_content = np.cumsum(new_bucket) - 1, np.cumsum(new_content) - 1
             repeats = (np.bincount(of_content)[of_content] > 1) | (np.bincount(of_content, kind == _SEVERAL)[of_content] > 0)
-            open_ = ~repeats & ((np.bincount(of_bucket)[of_bucket] > 1) | (kind == _PERIODIC))
-            partner = repeats & new_content & (np.bincount(of_bucket, open_)[of_bucket] > 0)
-            split = (np.bincount(of_bucket, open_ | partner) > hot)[of_bucket]
+            open_ = ~repeats & (mass | (np.bincount(of_bucket)[of_bucket] > 1) | (kind == _PERIODIC))
+            partner = repeats & new_content & (mass | (np.bincount(of_bucket, open_)[of_bucket] > 0))
+            split = mass | (np.bincount(of_bucket, open_ | partner) > hot)[of_bucket]
             for rows, status in ((repeats, _REPEATS), (open_, _OPEN), (partner, _PARTNER)):
                 if rows.any():
-                    yield _batch([np.full(rows.sum(), status), split[rows], route[rows], ua[rows], ub[rows], first[rows], last[rows]], _STATUS)
+                    yield _batch([np.full(rows.sum(), status), split[rows], bucket[rows], ua[rows], ub[rows], first[rows], last[rows]], _STATUS)
 
     return run
 
@@ -424,7 +435,17 @@ def _strip(held: int, length: int, names: list[str], whole_chars: bool):
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, whole_chars: bool = False, hot: int = HOT) -> DataFrame:
+def heavy_buckets(keyed: DataFrame, length: int, pieces: int, part: int) -> np.ndarray:
+    """Buckets with at least ``pieces`` pieces in one of ``part`` parts of the documents; never more than HEAVY_MOST.
+
+    Only how pieces are dealt out depends on them, not what is found.
+    """
+    some = keyed.where(F.pmod("ua", F.lit(part)) == 0).mapInArrow(_cut(length, np.zeros(0, np.int64)), _PIECE)
+    many = some.where(F.col("kind") != _SETTLED).groupBy("route").count().where(F.col("count") >= pieces)
+    return np.array([r["route"] for r in many.orderBy(F.col("count").desc(), "route").limit(HEAVY_MOST).collect()], np.int64)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, whole_chars: bool = False, hot: int = HOT, heavy: tuple[int, int] = (HEAVY_PIECES, HEAVY_PART)) -> DataFrame:
     """``docs`` without its text, with n_bytes, spans (removed, as byte offsets) and kept (the remaining bytes).
 
     With ``whole_chars`` a character that a span's edge would cut is kept. ``length``: 192 at least.
@@ -436,7 +457,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     body, who = F.col(f"`{text}`").cast("string"), F.col(f"`{id_col}`")
     keys = {"ua": F.xxhash64(who, body), "ub": F.xxhash64(body, F.lit(1), who)}
     keyed = docs.select(*[v.alias(k) for k, v in keys.items()], body.alias("text"))
-    cut = keyed.where(F.octet_length("text") >= length).mapInArrow(_cut(length), _PIECE)
+    long = keyed.where(F.octet_length("text") >= length)
+    cut = long.mapInArrow(_cut(length, heavy_buckets(long, length, *heavy)), _PIECE)
     status = save(cut.repartition("route").sortWithinPartitions("route").mapInArrow(_settle(hot), _STATUS), "suffix-status")
     sweep(spark)
     asked = status.where(F.col("kind") != _REPEATS).groupBy("ua", "ub").agg(F.collect_list(F.struct("kind", "split", "bucket", "first", "last")).alias("asked"))

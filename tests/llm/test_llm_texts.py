@@ -266,12 +266,12 @@ def repeating_texts():
     return texts + texts[-20:-10]
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_repeats(spark, hot):
+@pytest.mark.parametrize("hot, heavy", [(suffix_dedup.HOT, (5000, 64)), (1, (5000, 64)), (suffix_dedup.HOT, (2, 1))])
+def test_repeats(spark, hot, heavy):
     texts = repeating_texts()
     ids = [i if i % 13 else None for i in range(len(texts))]
     df = spark.createDataFrame([(i, k, t, 1, "x", "y") for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, k long, text string, ua int, spans string, body string").repartition(5)
-    out = suffix_dedup.repeats(df, hot=hot)
+    out = suffix_dedup.repeats(df, hot=hot, heavy=heavy)
     assert out.columns == ["doc_id", "k", "ua", "body", "n_bytes", "spans", "kept"]
     found = {r.k: r for r in out.collect()}
     for k, (n, spans, kept) in enumerate(plain_repeats_of(texts)):

@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def tune(spark: SparkSession) -> None:
     """Prepare the session for Python stages: send this package to the executors, and keep Arrow batches of whole texts small.
 
-    Spark's file server hands the package out; a batch size the user set stays.
+    Spark's file server hands the package out; batch sizes the user set stay.
     """
     if spark.sparkContext.applicationId not in _sent:
         _sent.add(spark.sparkContext.applicationId)
@@ -52,8 +52,9 @@ def tune(spark: SparkSession) -> None:
             for file in sorted(root.rglob("*.py")):
                 z.write(file, file.relative_to(root.parent))
         spark.sparkContext.addPyFile(path)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for key, least, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "1b", "32m")):
+        if spark.conf.get(key, least) == least:  # not set
+            spark.conf.set(key, most)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -1,6 +1,5 @@
 """Near copies, quality, toxicity, pieces, counts and repeats against plain computations."""
 
-import hashlib
 import random
 import re
 import zlib

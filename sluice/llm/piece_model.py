@@ -17,6 +17,8 @@ import numpy as np
 
 SPACE = "▁"
 PRETOKEN = re.compile(f"[\\n\\t]|{SPACE}+[^{SPACE}\\n\\t]*|[^{SPACE}\\n\\t]+")
+#: Symbols up to which pairs are searched by looking at all of them.
+SHORT = 40
 _loaded: dict[int, PieceModel] = {}
 
 
@@ -39,7 +41,7 @@ class PieceModel:
         self.rank = np.full(self.size + 1, len(scores), np.int64)
         for i in plain:
             self.rank[i] = place[sp.get_score(i)]
-        self.none = len(scores)
+        self.none, self.ranks = len(scores), self.rank.tolist()
         pairs = {self.ids[p[:k]] * self.size + self.ids[p[k:]]: i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
         self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
@@ -49,8 +51,32 @@ class PieceModel:
         return PRETOKEN.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def merge(self, word: str) -> list[int]:
-        """The tokens of one pre-token by a heap of candidate pairs; characters without a piece are -1 - code point."""
+        """The tokens of one pre-token; characters without a piece are -1 - code point."""
         symbols = [self.ids.get(c, -1 - ord(c)) for c in word]
+        return self._merge_short(symbols) if len(symbols) <= SHORT else self._merge_long(symbols)
+
+    def _merge_short(self, symbols: list[int]) -> list[int]:
+        """Merge the best pair, leftmost on a tie, until none is left."""
+        find, size, rank = self.pairs.get, self.size, self.ranks
+        made = [find(a * size + b) if a >= 0 <= b else None for a, b in zip(symbols, symbols[1:])]
+        while True:
+            best, at = self.none, -1
+            for i, m in enumerate(made):
+                if m is not None and rank[m] < best:
+                    best, at = rank[m], i
+            if at < 0:
+                return symbols
+            new = symbols[at] = made[at]
+            del symbols[at + 1], made[at]
+            if at:
+                left = symbols[at - 1]
+                made[at - 1] = find(left * size + new) if left >= 0 else None
+            if at < len(made):
+                right = symbols[at + 1]
+                made[at] = find(new * size + right) if right >= 0 else None
+
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """The same by a heap of candidate pairs."""
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[int, int, int, int]] = []

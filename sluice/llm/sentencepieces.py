@@ -29,7 +29,7 @@ from sluice.llm._shared import free_name, tune
 from sluice.llm.piece_model import PieceModel, load
 
 #: Bytes indexed at once; ids of pre-tokens and validities of pairs kept.
-BLOCK, KEPT = 1 << 18, 400_000
+BLOCK, KEPT = 1 << 18, 600_000
 _SEPARATOR = b"\xff"  # in no UTF-8 text, and above every byte of one
 _NUL = b"\xfe"  # stands for NUL, which fixed-width comparison would drop
 
@@ -45,8 +45,10 @@ class Matcher:
         self.high = np.array([p + _SEPARATOR * (self.width + 1 - len(p)) for p, _ in spelled], f"S{self.width + 1}")
         self.piece_ids = np.array([i for _, i in spelled], np.int64)
         self.lengths = np.array([len(p) for p, _ in spelled], np.int64)
-        self.whole: dict[int, bool] = {}
+        self.known_letters = {p for p in model.ids if len(p) == 1}
+        self.whole = np.full(model.size, -1, np.int8)  # whether a piece's own text merges to it; -1: not asked yet
         self.valid: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
 
     def edges(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece id) of every occurrence of every piece, sorted by end."""
@@ -64,63 +66,75 @@ class Matcher:
         by = np.lexsort((start, end))
         return start[by], end[by], np.repeat(self.piece_ids, many)[by]
 
-    def joins(self, left: int, right: int) -> bool:
-        """Whether ``right`` may follow ``left`` (-1: nothing precedes)."""
-        own = self.whole.get(right)
-        if own is None:
-            own = self.whole[right] = self.model.merge(self.model.pieces[right]) == [right]
-        if left < 0 or not own:
-            return own
-        key = left * self.model.size + right
-        found = self.valid.get(key)
-        if found is None:
-            if len(self.valid) > KEPT:
-                self.valid.clear()
-            found = self.valid[key] = self.model.merge(self.model.pieces[left] + self.model.pieces[right]) == [left, right]
-        return found
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """The ids of each pre-token."""
-        raw = [w.encode() for w in words]
-        starts, ends, ids = (x.tolist() for x in self.edges(_SEPARATOR.join(raw)))
-        out, at, base = [], 0, 0
-        for word, data in zip(words, raw):
-            size = len(data)
-            last, back = [-1] * (size + 1), [-1] * (size + 1)
-            fresh = [False] * (size + 1)  # a segment starts here: at the word's start or after a byte-spelled character
-            fresh[0] = True
-            reached = 0
-            bare = {}
-            place = 0
-            for c in word:
-                n = len(c.encode())
-                if c not in self.model.ids:
-                    bare[place + n] = place
-                place += n
-            cuts = iter(sorted(bare))
-            cut = next(cuts, None)
-            limit = base + size
-            while at < len(ends) and ends[at] <= limit or cut is not None:
-                if cut is not None and (at >= len(ends) or ends[at] > limit or ends[at] - base > cut):
-                    fresh[cut], back[cut], last[cut] = True, bare[cut], -2
-                    cut = next(cuts, None)
-                    continue
-                i, j, t = starts[at] - base, ends[at] - base, ids[at]
-                at += 1
-                if back[j] < 0 and (fresh[i] or last[i] >= 0) and self.joins(-1 if fresh[i] else last[i], t):
-                    last[j], back[j], reached = t, i, j
-            tokens, j = [], size
-            while j > 0:
-                i = back[j]
-                if last[j] >= 0:
-                    tokens.append(last[j])
-                else:
-                    tokens += self.model.byte_ids[list(data[i:j])].tolist()[::-1]
-                j = i
-            out.append(tokens[::-1])
-            base += size + 1
+    def _merges_to(self, *tokens: int) -> bool:
+        return self.model.merge("".join(self.model.pieces[t] for t in tokens)) == list(tokens)
+
+    def joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For pairs of tokens, whether the right one may follow the left one (below 0: a segment starts)."""
+        for t in np.unique(right[self.whole[right] < 0]).tolist():
+            self.whole[t] = self._merges_to(t)
+        out = self.whole[right] == 1
+        at = np.flatnonzero(out & (left >= 0))
+        keys, of = np.unique(left[at] * self.model.size + right[at], return_inverse=True)
+        good = np.empty(len(keys), bool)
+        for n, key in enumerate(keys.tolist()):
+            found = self.valid.get(key)
+            if found is None:
+                if len(self.valid) > KEPT:
+                    self.valid.clear()
+                found = self.valid[key] = self._merges_to(*divmod(key, self.model.size))
+            good[n] = found
+        out[at] = good[of]
         return out
 
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian 32-bit integers. All pre-tokens are relaxed together, position by position."""
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        base = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))  # a position more than bytes: where the separator stands
+        text = _SEPARATOR.join(raw)
+        start, end, token = self.edges(text)
+        bare = [(int(b) + p, n) for w, b in zip(words, base) if not self.known_letters.issuperset(w) for p, n in self._bare(w)]
+        if bare:  # characters without a piece are edges of their own, always taken
+            at, n = np.array(bare, np.int64).T
+            start, end, token = np.concatenate([start, at]), np.concatenate([end, at + n]), np.concatenate([token, np.full(len(at), -2)])
+        place = end - base[np.searchsorted(base, start, "right") - 1]
+        order = np.argsort(place, kind="stable")
+        start, end, token, place = start[order], end[order], token[order], place[order]
+        last, back = np.full(len(text) + 1, -3), np.zeros(len(text) + 1, np.int64)
+        last[base] = -1
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+            s, e, t = start[a:b], end[a:b], token[a:b]
+            take = t < 0
+            ask = np.flatnonzero(~take & (last[s] != -3))
+            take[ask] = self.joins(last[s[ask]], t[ask])
+            last[e[take]], back[e[take]] = t[take], s[take]
+        steps, at, own = [], base + sizes, np.arange(len(words))
+        while len(live := np.flatnonzero(at > base[own])):
+            at, own = at[live], own[live]
+            steps.append((own, last[at], back[at], at - back[at]))
+            at = back[at]
+        if not steps:
+            return [b""] * len(words)
+        own, token, at, width = (np.concatenate(x[::-1]) for x in zip(*steps))
+        order = np.lexsort((at, own))
+        own, token, at, width = own[order], token[order], at[order], np.where(token[order] < 0, width[order], 1)
+        inside = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+        token, at = np.repeat(token, width), np.repeat(at, width) + inside
+        ids = np.where(token >= 0, token, self.model.byte_ids[np.frombuffer(text, np.uint8)[at]]).astype("<i4")
+        ends = np.cumsum(np.bincount(own, width, len(words)).astype(np.int64)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+
+    def _bare(self, word: str):
+        """(offset, bytes) of each character of a word that has no piece."""
+        at = 0
+        for c in word:
+            n = len(c.encode())
+            if c not in self.model.ids:
+                yield at, n
+            at += n
+
 
 _matchers: dict[int, Matcher] = {}
 
@@ -132,8 +146,11 @@ def _matcher(content: bytes) -> Matcher:
     return _matchers[id(model)]
 
 
-def encode_texts(texts: list[str], matcher: Matcher, known: dict[str, list[int]]) -> list[np.ndarray]:
-    """The ids of each text; ``known`` keeps the ids of pre-tokens from call to call."""
+def encode_texts(texts: list[str], matcher: Matcher) -> list[np.ndarray]:
+    """The ids of each text; the ids of pre-tokens are kept from call to call."""
+    known = matcher.known
+    if len(known) > KEPT:
+        known.clear()
     split = [matcher.model.pretokens(x) for x in texts]
     part, size = [], 0
     for w in {w for words in split for w in words if w not in known}:
@@ -144,15 +161,7 @@ def encode_texts(texts: list[str], matcher: Matcher, known: dict[str, list[int]]
             part, size = [], 0
     if part:
         known.update(zip(part, matcher.encode(part)))
-    out = []
-    for words in split:
-        flat: list[int] = []
-        for w in words:
-            flat += known[w]
-        out.append(np.array(flat, np.int32))
-    if len(known) > KEPT:
-        known.clear()
-    return out
+    return [np.frombuffer(b"".join([known[w] for w in words]), "<i4") for words in split]
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
@@ -166,14 +175,14 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     schema = rows.drop(body).withColumn("ids", F.array(F.lit(0))).withColumn("decoded", F.lit("")).schema
 
     def run(batches):
-        matcher, known = _matcher(content), {}
+        matcher = _matcher(content)
         for batch in batches:
             texts = [x or "" for x in batch.column(len(held)).to_pylist()]
-            for k in range(0, len(texts), 200):
-                ids = encode_texts(texts[k : k + 200], matcher, known)
+            for k in range(0, len(texts), 500):
+                ids = encode_texts(texts[k : k + 500], matcher)
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-                columns = [batch.column(i).slice(k, 200) for i in range(len(held))]
+                columns = [batch.column(i).slice(k, 500) for i in range(len(held))]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array([matcher.model.decode(x.tolist()) for x in ids], pa.string())], names=[*held, "ids", "decoded"])
 
     return rows.mapInArrow(run, schema)

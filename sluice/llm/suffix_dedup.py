@@ -42,7 +42,7 @@ from sluice.llm._shared import drop, free_name, save, sweep, tune, utf8
 #: Bytes of a gram; windows handled at once; pieces held before they are combined and sent.
 GRAM, BLOCK, HELD = 56, 1 << 20, 400_000
 #: Pieces in one bucket beyond which it is split, and the windows of a sub-bucket.
-HOT, SUB = 4096, 16
+HOT, SUB = 512, 16
 #: The difference cover: residues of the period such that every difference occurs.
 PERIOD, REACH = 32, 128
 COVER = np.array(sorted({*range(6), *range(0, PERIOD, 6)}), np.int64)
@@ -252,7 +252,8 @@ def _settle(hot: int):
     return run
 
 
-_CONTEXT = "key long, open boolean, ua long, ub long, first long, context binary"
+#: context is null where all of a row's windows are known to repeat.
+_CONTEXT = "key long, open boolean, ua long, ub long, first long, windows long, context binary"
 
 
 def sub_buckets(context: bytes, bucket: int, length: int) -> list[tuple[int, int, int]]:
@@ -280,18 +281,28 @@ def _fetch(length: int):
 
     def run(batches):
         for batch in batches:
-            out, size = [], 0
+            out, size, shared = [], 0, {}
             ua, ub = (batch.column(i).to_pylist() for i in (0, 1))
             for n, text in enumerate(utf8(batch.column(2))):
                 for x in batch.column(3)[n].as_py():
-                    context = text[x["first"] : x["last"] + length]
-                    parts = sub_buckets(context, x["bucket"] % 2**64, length) if x["split"] else [(x["bucket"], 0, len(context) - length)]
-                    for key, a, b in parts:
-                        out.append((key, x["kind"] == _OPEN, ua[n], ub[n], x["first"] + a, context[a : b + length]))
-                        size += b - a + length
+                    context, open_ = text[x["first"] : x["last"] + length], x["kind"] == _OPEN
+                    if not x["split"]:
+                        out.append((x["bucket"], open_, ua[n], ub[n], x["first"], x["last"] - x["first"] + 1, context))
+                        size += len(context)
+                        continue
+                    for key, a, b in sub_buckets(context, x["bucket"] % 2**64, length):
+                        shared.setdefault((key, context[a : b + length]), []).append((open_, ua[n], ub[n], x["first"] + a, b - a + 1))
                     if size > BLOCK:
                         yield _batch(list(zip(*out)), _CONTEXT)
                         out, size = [], 0
+            for (key, context), rows in shared.items():  # equal parts of hot buckets are settled here; one stands for them
+                out.append((key, rows[0][0] and len(rows) == 1, *rows[0][1:], context))
+                if len(rows) > 1:
+                    out += [(row[1] ^ row[3], *row, None) for row in rows if row[0]]
+                size += len(context)
+                if size > BLOCK:
+                    yield _batch(list(zip(*out)), _CONTEXT)
+                    out, size = [], 0
             if out:
                 yield _batch(list(zip(*out)), _CONTEXT)
 
@@ -381,10 +392,15 @@ def _sort(length: int):
     """Pieces' bytes sorted by key to the windows of open pieces that repeat."""
 
     def run(batches):
-        for table in _whole_groups(batches, 0, lambda held: sum(b.column(5).nbytes for b in held) >= BLOCK):
-            contexts = table.column(5).to_pylist()
-            open_ = table.column(1).to_numpy()
-            ua, ub, first = (table.column(i).to_numpy() for i in (2, 3, 4))
+        for table in _whole_groups(batches, 0, lambda held: sum(b.column(6).nbytes for b in held) >= BLOCK):
+            known = table.column(6).is_null().to_numpy()
+            open_, ua, ub, first, windows = (table.column(i).to_numpy() for i in range(1, 6))
+            if known.any():
+                yield _batch([ua[known], ub[known], first[known], (first + windows - 1)[known]], _SPAN)
+                open_, ua, ub, first = (x[~known] for x in (open_, ua, ub, first))
+            contexts = table.column(6).drop_null().to_pylist()
+            if not contexts:
+                continue
             data = np.frombuffer(b"".join(contexts), np.uint8)
             size = np.array([len(x) for x in contexts])
             offsets = np.cumsum(size) - size

@@ -7,9 +7,10 @@ document's id, the number of ids before it in its file, its number of ids and th
 included. Readers may start at any stripe; a lookup by id skips files, stripes and row groups
 by their statistics and Bloom filters.
 
-Null and empty texts hold the end id alone. A very long text is encoded in parts cut where
-byte-level BPE's pre-tokenizer always cuts: before a space between two ASCII letters or
-digits. An empty table gives files without rows.
+Texts are encoded by the tokenizers library in pieces, cut where byte-level BPE's pre-tokenizer
+always cuts, so the ids are those of the whole text; the ids of a piece that comes again are
+taken from a bounded table. Null and empty texts hold the end id alone. An empty table gives
+files without rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,59 +27,98 @@ from pyspark.sql import functions as F
 
 from sluice.llm._shared import broadcast_if_small, tune
 
-#: Characters encoded in one call, about; and the end-of-document id of the contract.
-PART, END_ID = 1 << 17, 2
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-_loaded: dict[int, object] = {}
+#: Characters encoded in one call, about; pieces whose ids are kept; and the end-of-document id of the contract.
+PART, KEPT, END_ID = 1 << 16, 800_000, 2
+#: Where byte-level BPE's pre-tokenizer always cuts: before a space between two characters that are no white space.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Any white space but a space or line break, and those two side by side: then the pattern has to look.
+_ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
+_loaded: dict[int, Encoder] = {}
 
 
-def _tokenizer(definition: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hash(definition)
-    if key not in _loaded:
+class Encoder:
+    """The tokenizers library's encoding of texts, piece by piece, each distinct piece once while it is kept."""
+
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[key] = Tokenizer.from_str(definition)
+        self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of text behind each id
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token.encode()) if i in added else len(token)
+        self.first: dict[str, bytes] = {}  # ids of pieces that begin a text
+        self.known: dict[str, bytes] = {}  # ids of the others; a leading space is left out here
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces end to end, as one text that is cut between any two, and share out its ids."""
+        ids = self._ids([" " + " ".join(pieces)])[0]
+        upto = np.cumsum(self.widths[ids])
+        ends = np.searchsorted(upto, np.cumsum([len(p.encode()) + 1 for p in pieces]), "right").tolist()
+        raw = ids.tobytes()
+        self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(pieces, [0, *ends], ends))
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        """The text cut before spaces, which are left out, and (where it is plain) before line breaks, which are kept."""
+        if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _ODD):
+            return text.replace("\n", " \n").split(" ")
+        return _CUT.split(text)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids."""
+        known, first = self.known, self.first
+        if len(known) + len(first) > KEPT:
+            known.clear()
+            first.clear()
+        split = [self._pieces(t) for t in texts]
+        new = list(filterfalse(first.__contains__, {s[0] for s in split}))
+        for k in range(0, len(new), 64):
+            first.update(zip(new[k : k + 64], (x.tobytes() for x in self._ids(new[k : k + 64]))))
+        heads = [s[0] for s in split]
+        for s in split:
+            del s[0]
+        part, size, alone = [], 0, []
+        for piece in filterfalse(known.__contains__, set().union(*split)):
+            if piece[0] == "\n" or piece[-1].isspace():
+                alone.append(piece)  # it begins a line, or ends a text and would join with what followed it
+                continue
+            part.append(piece)
+            size += len(piece)
+            if size > PART:
+                self._learn(part)
+                part, size = [], 0
+        if part:
+            self._learn(part)
+        known.update((p, x.tobytes()) for p, x in zip(alone, self._ids([p if p[0] == "\n" else f" {p}" for p in alone])))
+        find = known.__getitem__
+        return [np.frombuffer(first[h] + b"".join(map(find, s)), "<i4") for h, s in zip(heads, split)]
+
+
+def _encoder(definition: str) -> Encoder:
+    key = hash(definition)
+    if key not in _loaded:
+        _loaded[key] = Encoder(definition)
     return _loaded[key]
 
 
-def parts(text: str, most: int = PART) -> list[str]:
-    """The text cut where no token can cross, into parts of about ``most`` characters where it can be."""
-    out, start = [], 0
-    while len(text) - start > most and (cut := _CUT.search(text, start + most)):
-        out.append(text[start : cut.start()])
-        start = cut.start()
-    return [*out, text[start:]]
-
-
 def encode_ids(docs: DataFrame, tokenizer_file: str, id_col: str, text: str, end_id: int | None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of ``docs``' rows in their order; start counts from each partition's beginning."""
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = f.read()  # a megabyte or two, sent with the task: executors need no file
 
     def run(batches):
-        tokenizer, start = _tokenizer(definition), 0
+        encoder, start = _encoder(definition), 0
+        tail = np.array([] if end_id is None else [end_id], np.int32)
         for batch in batches:
-            held, ids, n = [], [], []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-
-            def flush():
-                for doc, e in zip([d for d, _ in held], tokenizer.encode_batch_fast([t for _, t in held], add_special_tokens=False)):
-                    ids[doc].append(np.array(e.ids, np.int32))
-                held.clear()
-
-            size = 0
-            for doc, whole in enumerate(texts):
-                ids.append([])
-                for part in parts(whole):
-                    held.append((doc, part))
-                    size += len(part)
-                    if size >= PART:
-                        flush()
-                        size = 0
-            flush()
-            tail = [] if end_id is None else [np.array([end_id], np.int32)]
-            rows = [np.concatenate([*x, *tail]) if x or tail else np.zeros(0, np.int32) for x in ids]
+            texts, rows = [x or "" for x in batch.column(1).to_pylist()], []
+            for k in range(0, len(texts), 250):
+                rows += [np.concatenate([ids, tail]) for ids in encoder.encode(texts[k : k + 250])]
             n = np.array([len(x) for x in rows], np.int64)
             ends = np.cumsum(n)
             offsets = pa.array(np.concatenate(([0], ends)), pa.int32())

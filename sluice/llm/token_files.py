@@ -146,7 +146,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.orc(path).select("doc_id", "start", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")  # of the task that wrote the file
+    before = F.coalesce(F.sum("n").over(Window.orderBy(place, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = totals.select("file", before.alias("base"))
     return rows.join(broadcast_if_small(bases), "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
 

@@ -171,8 +171,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     First means smallest id, null last; where rows of a group repeat that id, smallest hash of
     the text; of rows equal in both, one stays.
     """
+    return first_rows(docs, groups(docs, id_col, text, shingle, max_distance), id_col, text)
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that are first of their group in ``grouped`` (id, text_hash, root), as ``keep_one`` defines it."""
     k, h = free_name(docs, "row_key"), free_name(docs, "row_hash")
-    first = groups(docs, id_col, text, shingle, max_distance).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"))
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"))
     named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     chosen = first.select(named(F.col("first.id")).alias(k), F.col("first.text_hash").alias(h))
     rest = docs.withColumns({k: named(F.col(f"`{id_col}`")), h: F.xxhash64(F.col(f"`{text}`"))})

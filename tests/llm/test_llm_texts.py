@@ -11,7 +11,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from sluice.llm import components, quality, sentencepieces, simhash, suffix_dedup, token_counts, toxicity
+from sluice.llm import components, minhash, quality, sentencepieces, simhash, suffix_dedup, token_counts, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = "the of and to in that with from this have stone river light paper glass cloud green winter seven orange table window garden letter".split()
@@ -351,6 +351,72 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 
+def plain_shingles(text, n=5):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def changed(rng, text, n):
+    """The text with n of its words replaced."""
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def test_pipeline_keeps_one_of_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    base = [rich(rng, rng.choice([25, 60, 150, 400])) for _ in range(60)]
+    chain = [rich(rng, 200)]
+    for _ in range(6):
+        chain.append(changed(rng, chain[-1], 3))  # neighbours are near copies, the ends are not
+    texts = odd_texts() + base + chain + base[:5] + [b.upper() for b in base[5:8]] + [rich(rng, n) for n in (1, 2, 4, 5, 6)]
+    texts += [changed(rng, b, max(1, round(len(b.split()) * share))) for b in base for share in (0.01, 0.02, 0.03, 0.05)]
+    texts += [base[9] + " " + rich(rng, n) for n in (5, 30, 40, 200)]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    rows = [(i if i != 40 else None, t, "en", "s", len(t or "")) for i, t in zip(ids, texts)]
+    rows += [rows[20], (rows[21][0], base[30], "en", "s", len(base[30]))]
+    texts = [r[1] for r in rows]
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(rows)))
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                far += bin(plain_fingerprint(texts[i], 3) ^ plain_fingerprint(texts[j], 3)).count("1") > 3
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    assert far > 50  # pairs that a bound of three bits misses
+    first = {}
+    for r, row in zip(root, rows):
+        first.setdefault(r, []).append(row)
+    want = {min((r[0] for r in own if r[0] is not None), default=None) for own in first.values()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = corpus_pipeline.near_copies(spark, df, "").collect()
+    assert len(kept) == len(first) and {r.doc_id for r in kept} == want
+    assert corpus_pipeline.near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_walk_links_what_brute_force_links():
+    rng = np.random.default_rng(8)
+    centre = [rng.choice(10_000, 60, replace=False) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(c, 60 - k, replace=False), rng.integers(10_000, 20_000, k)])).astype(np.uint64) for c in centre for k in rng.integers(0, 12, 15)]
+    for similarity in (0.6, 0.8, 0.9):
+        label, want = list(range(len(sets))), list(range(len(sets)))
+        edges = minhash.walk(sets, similarity)
+        assert len(edges) < len(sets)
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= similarity * len(np.union1d(sets[i], sets[j])) - 1e-9]
+        for found, pairs in ((label, edges), (want, near)):
+            for a, b in pairs:
+                x, y = found[a], found[b]
+                found[:] = [min(x, y) if r in (x, y) else r for r in found]
+        assert label == want
+
+
 def test_held_out_fold_is_the_crc_of_the_id(spark):
     got = [r.f for r in spark.range(20).select((F.crc32(F.col("id").cast("string")) % 5).alias("f")).collect()]
     assert got == [zlib.crc32(str(i).encode()) % 5 for i in range(20)]

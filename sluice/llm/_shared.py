@@ -6,35 +6,39 @@ executor can read them, and they outlive any executor.
 
 from __future__ import annotations
 
-import atexit
-import gc
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A frame is broadcast only when a count has shown it to have no more rows than this.
-BROADCAST_ROWS = 100_000
+#: A frame is broadcast only when a look at it has shown it to have no more rows and bytes than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+#: Keys that hold more than one part in so many of all rows are joined apart from the others; there are fewer of them than that.
+HOT_PARTS = 1000
 
 #: A word, where a contract defines one: a run of anything but ASCII white space (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
+#: Spark deletes a statement's shuffle files as soon as it is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _sent: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder every executor shares; one of our own only where the session names none and runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,19 +62,26 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted at exit or by ``drop``."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clear)
-    _made.append((spark, path))
-    return path
-
-
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    """A fresh path in the application's own part of the shared folder, which goes when the driver's JVM ends, or by ``drop``."""
+    root, app = shared_dir(spark), spark.sparkContext.applicationId
+    if _folders.get(app, "").rpartition("/")[0] != root:
+        _folders[app] = f"{root}/sluice-{app}"
+        fs, where = _place(spark, _folders[app])
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return f"{_folders[app]}/{label}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage and shuffle files end here. With ``path`` add it to a table there."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
+    path = path or scratch_path(spark, label)
+    held = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("append").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, held)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -81,36 +92,58 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "scratch", None)
         if path:
-            _delete(df.sparkSession, path)
-            _made[:] = [x for x in _made if x[1] != path]
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+            fs, where = _place(df.sparkSession, path)
+            fs.delete(where, True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
 
 
-def _clear() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have been stopped
-            pass
+def _width(field: T.StructField):
+    """A column's bytes in a row, about."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+    return F.lit(16)
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows and ``most`` bytes. The look is a job of its own: give a saved or otherwise cheap frame."""
+    size = functools.reduce(lambda a, b: a + b, map(_width, df.schema.fields))
+    seen = df.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return seen["n"] <= limit and seen["bytes"] <= most
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if a count proves at most ``limit`` rows; otherwise the frame as it is, for a shuffle join.
+    """A broadcast hint if ``is_small``; otherwise the frame as it is, for a shuffle join."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
 
-    Call it on a saved or otherwise cheap frame: the count is a job of its own.
+def join_on(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, which holds each ``key`` once; keys that hold many of ``left``'s rows don't go to one task.
+
+    Where ``right`` is small it is broadcast. Else the keys with more than one part in HOT_PARTS of
+    all rows, fewer than HOT_PARTS by their definition, are joined by a broadcast of their rows of
+    ``right``, and all others by a shuffle. ``counts``: (key, n) of ``left`` where known. Both frames are read
+    more than once: give saved ones.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    if is_small(right):
+        return left.join(F.broadcast(right), key, how)
+    counts = counts or left.groupBy(key).agg(F.count("*").alias("n"))
+    counts = save(counts, "join-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT_PARTS > total).select(key)  # fewer than HOT_PARTS rows
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    own = right.join(F.broadcast(hot), key, "left_semi")
+    many = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(own), key, how)
+    few = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    return many.unionByName(few)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -124,24 +157,3 @@ def free_name(df: DataFrame, base: str) -> str:
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's values as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
-
-
-def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All the column's bytes end to end, and the offsets of the values; null is empty."""
-    flat = column.fill_null("").cast(pa.large_binary())
-    offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-    data = flat.buffers()[2]
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[offsets[0] : offsets[-1]] if len(flat) else raw[:0], offsets - offsets[0]
-
-
-def chunks(sizes, most: int):
-    """Consecutive ranges of items whose sizes sum to at most ``most``; a larger item stands alone."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)

@@ -1,29 +1,30 @@
-"""Removal of long repeated passages by suffix sorting, one suffix bucket at a time.
+"""Removal of long repeated passages by blockwise suffix sorting with a difference cover.
 
 Every byte covered by a string of ``length`` bytes that also starts anywhere else, in the same
 document or another, is removed; strings are judged on the input.
 
 A window is the first ``length`` bytes of a suffix; two documents share a passage exactly where
-windows are equal. Windows are dealt into suffix buckets by the least hash of the ``GRAM``-byte
-grams they hold: equal windows hold equal grams, so they always meet. Neighbouring windows
-mostly have the same least gram, so a bucket receives pieces: runs of windows, standing for the
-bytes they cover.
-
-1.  Each task cuts its documents into pieces and combines equal ones before anything is sent.
-2.  By bucket, pieces equal in all their bytes are settled: all their windows repeat. Pieces
-    alone in their bucket (and not periodic) are settled too: none does. What is left shares a
-    gram with other pieces but not all its bytes.
-    A bucket that a look at a part of the documents shows to hold a large share of all pieces is
-    dealt out by content instead, its pieces taken to share it.
-3.  Only those pieces' bytes are fetched and dealt out by bucket. A bucket that holds very many
-    is split by the bytes that all windows of a sub-bucket must share.
-4.  A task sorts one suffix bucket after another. Ties after the leading bytes are put in
-    order by hash and neighbours are compared through a difference cover: ranks of 128-byte
-    strings are precomputed at the sample positions alone, and any two suffixes reach sample
-    positions together within 32 bytes, so long ties are settled by a few look-ups, without
-    ranks for all positions.
-
-Memory is bounded by the block of text a task indexes. Nothing is gathered in the driver.
+windows are equal, and equal windows are neighbours once suffixes are sorted. What decides is
+that sort, and bytes: hashes only deal windows out, and prune those that are proven not to
+repeat. Windows are dealt by the least hash of the ``GRAM``-byte grams they hold: equal windows
+hold equal grams, so they always meet. Neighbouring windows mostly have the same least gram, so
+a bucket receives pieces: runs of windows, standing for the bytes they cover.
+
+1.  Each task cuts its documents into pieces. Pieces of one task with the same bytes (compared,
+    not only hashed) are combined before anything is sent.
+2.  A piece alone in its bucket (and not periodic) is pruned: its windows hold a gram that no
+    other piece holds. A bucket that a look at a part of the documents shows to hold a large
+    share of all pieces is dealt out by content instead, its pieces taken to share it.
+3.  Only the other pieces' bytes are fetched and dealt out by bucket. A bucket that holds very
+    many is split by the bytes that all windows of a sub-bucket must share.
+4.  A task lays the pieces it received end to end, a block of text at a time. The suffixes at the
+    sample positions of a difference cover are ranked first, by prefix doubling. Then one suffix
+    bucket (a range of leading bytes) after another is sorted: by two leading words, and ties by
+    the cover: any two suffixes reach sample positions together within ``PERIOD`` bytes, so
+    their order is that of two sample ranks. Neighbours that agree in ``length`` bytes repeat.
+
+Memory is bounded by the block of text a task sorts; there are ranks for 5 positions in 16, not
+for all. Nothing is gathered in the driver but the list of heavy buckets.
 
 Null and empty texts, and texts shorter than ``length``, lose nothing. Rows equal in id and text
 are documents like any other: each one's windows also start in the other. Ids may be null or
@@ -37,15 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import drop, free_name, save, sweep, tune, utf8
+from sluice.llm._shared import drop, free_name, save, tune, utf8
 
 #: Bytes of a gram; windows handled at once; pieces held before they are combined and sent.
 GRAM, BLOCK, HELD = 56, 1 << 20, 400_000
 #: Pieces in one bucket beyond which it is split, and the windows of a sub-bucket.
 HOT, SUB = 512, 16
-#: The difference cover: residues of the period such that every difference occurs.
-PERIOD, REACH = 32, 128
-COVER = np.array(sorted({*range(6), *range(0, PERIOD, 6)}), np.int64)
+#: The difference cover: residues of the period such that every difference occurs. Suffixes in one bucket, about.
+PERIOD, COVER, BUCKET = 16, np.array([0, 1, 2, 5, 8], np.int64), 1 << 16
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -133,10 +133,10 @@ def _items(texts: list[bytes], length: int):
             yield doc, k, text[k : k + BLOCK + length - 1]
 
 
-_PIECE = "route long, content long, kind int, ua long, ub long, first long, last long"
-#: Kinds of piece: alone in its task, periodic, one of several equal ones in its task, already settled.
+_PIECE = "route long, bucket long, kind int, ua long, ub long, first long, last long"
+#: Kinds of piece: alone in its task, periodic, one that stands for several with its bytes in its task, one it stands for.
 _ALONE, _PERIODIC, _SEVERAL, _SETTLED = range(4)
-#: Added to the kind of a piece in a heavy bucket: its route is a hash of bucket and content, its content the bucket.
+#: Added to the kind of a piece in a heavy bucket: its route is a hash of bucket and content.
 _HEAVY = 8
 #: A bucket is heavy with so many pieces in one of so many parts of the documents; at most so many are told apart.
 HEAVY_PIECES, HEAVY_PART, HEAVY_MOST = 5_000, 64, 100_000
@@ -148,21 +148,32 @@ def _batch(columns, schema: str):
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "))], names=names)
 
 
+def _same_bytes(order: np.ndarray, same: np.ndarray, blocks: list[bytes], block: np.ndarray, at: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Which pieces, in order, have the bytes of the first of their run of equal hashes; ``same``: equal hashes to the one before."""
+    out = np.zeros(len(order), bool)
+    members = np.flatnonzero(same)
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))[members]
+    block, at, span = ([x[order[i]].tolist() for i in (first, members)] for x in (block, at, span))
+    out[members] = [m == n and blocks[a][p : p + m] == blocks[b][q : q + n] for a, b, p, q, m, n in zip(*block, *at, *span)]
+    return out
+
+
 def _cut(length: int, heavy: np.ndarray):
-    """Documents (ua, ub, text) to pieces, equal ones of a task combined; those of heavy buckets dealt by content."""
+    """Documents (ua, ub, text) to pieces, those of a task with equal bytes combined; those of heavy buckets dealt by content."""
 
-    def send(held):
-        bucket, content, periodic, ua, ub, first, last = (np.concatenate(x) for x in zip(*held))
+    def send(held, blocks):
+        bucket, content, periodic, ua, ub, first, last, block, at = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((content, bucket))
-        same = (bucket[order][1:] == bucket[order][:-1]) & (content[order][1:] == content[order][:-1])
-        after, before = np.append(False, same), np.append(same, False)
+        same = np.append(False, (bucket[order][1:] == bucket[order][:-1]) & (content[order][1:] == content[order][:-1]))
+        after = _same_bytes(order, same, blocks, block, at, last - first + length)
+        stands = np.zeros(len(order), bool)
+        stands[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))[after]] = True
         kind = np.empty(len(order), np.int32)
-        kind[order] = np.where(after, _SETTLED, np.where(before, _SEVERAL, np.where(periodic[order], _PERIODIC, _ALONE)))
+        kind[order] = np.where(after, _SETTLED, np.where(stands, _SEVERAL, np.where(periodic[order], _PERIODIC, _ALONE)))
         live = kind != _SETTLED
         mass = np.isin(bucket.view(np.int64), heavy)
         route = np.where(mass, _mix(bucket * _U(0xD6E8FEB86659FD93) ^ content), bucket)
-        content = np.where(mass, bucket, content)
-        yield _batch([x[live] for x in (route.view(np.int64), content.view(np.int64), kind + _HEAVY * mass, ua, ub, first, last)], _PIECE)
+        yield _batch([x[live] for x in (route.view(np.int64), bucket.view(np.int64), kind + _HEAVY * mass, ua, ub, first, last)], _PIECE)
         if not live.all():
             ua, ub, first, last = (x[~live] for x in (ua, ub, first, last))
             order = np.lexsort((first, ub, ua))
@@ -173,27 +184,29 @@ def _cut(length: int, heavy: np.ndarray):
             yield _batch([ua ^ first * 0x9E37, ub, np.full(len(ua), _SETTLED), ua, ub, first, last], _PIECE)
 
     def run(batches):
-        held, count = [], 0
+        held, count, blocks = [], 0, []
         for batch in batches:
             ua, ub = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             block, size = [], 0
             for last in (False, True):
                 for doc, k, part in _items(utf8(batch.column(2)), length) if not last else [(0, 0, b"")]:
                     if block and (last or size + len(part) > BLOCK):
-                        data = np.frombuffer(b"".join(x[2] for x in block), np.uint8)
+                        whole = b"".join(x[2] for x in block)
                         offsets = np.concatenate(([0], np.cumsum([len(x[2]) for x in block])))
-                        bucket, content, periodic, item, first, to = pieces(data, offsets, length)
+                        bucket, content, periodic, item, first, to = pieces(np.frombuffer(whole, np.uint8), offsets, length)
                         docs, base = np.array([x[0] for x in block]), np.array([x[1] for x in block])
-                        held.append((bucket, content, periodic, ua[docs[item]], ub[docs[item]], first + base[item], to + base[item]))
+                        at = first + offsets[item]
+                        held.append((bucket, content, periodic, ua[docs[item]], ub[docs[item]], first + base[item], to + base[item], np.full(len(at), len(blocks)), at))
+                        blocks.append(whole)
                         count += len(bucket)
                         block, size = [], 0
                         if count > HELD:
-                            yield from send(held)
-                            held, count = [], 0
+                            yield from send(held, blocks)
+                            held, count, blocks = [], 0, []
                     block.append((doc, k, part))
                     size += len(part)
         if held:
-            yield from send(held)
+            yield from send(held, blocks)
 
     return run
 
@@ -218,34 +231,25 @@ def _whole_groups(batches, column: int, enough):
 
 
 _STATUS = "kind int, split boolean, bucket long, ua long, ub long, first long, last long"
-#: Kinds of status: windows that repeat; a piece to be settled by its bytes; a piece it may be equal to in part.
+#: Kinds of status: windows that repeat; a piece whose bytes must be sorted; one of known windows that others may equal.
 _REPEATS, _OPEN, _PARTNER = range(3)
 
 
-def _settle(hot: int):
-    """Pieces sorted by bucket and content to what is settled and what is still open."""
+def _prune(hot: int):
+    """Pieces sorted by route to those that share their bucket; what is alone in it is proven not to repeat."""
 
     def run(batches):
         for table in _whole_groups(batches, 0, lambda held: sum(b.num_rows for b in held) >= 20_000):
-            route, content, kind, ua, ub, first, last = (table.column(i).to_numpy() for i in range(7))
-            done = kind == _SETTLED
-            if done.any():
-                yield _batch([np.full(done.sum(), _REPEATS), np.zeros(done.sum(), bool), route[done], ua[done], ub[done], first[done], last[done]], _STATUS)
-                route, content, kind, ua, ub, first, last = (x[~done] for x in (route, content, kind, ua, ub, first, last))
-            if not len(route):
-                continue
-            order = np.lexsort((content, route))
-            route, content, kind, ua, ub, first, last = (x[order] for x in (route, content, kind, ua, ub, first, last))
-            mass, kind = kind >= _HEAVY, kind % _HEAVY
-            bucket = np.where(mass, content, route)
-            new_bucket = np.append(True, route[1:] != route[:-1])
-            new_content = new_bucket | np.append(True, content[1:] != content[:-1])
-            of_bucket, of_content = np.cumsum(new_bucket) - 1, np.cumsum(new_content) - 1
-            repeats = (np.bincount(of_content)[of_content] > 1) | (np.bincount(of_content, kind == _SEVERAL)[of_content] > 0)
-            open_ = ~repeats & (mass | (np.bincount(of_bucket)[of_bucket] > 1) | (kind == _PERIODIC))
-            partner = repeats & new_content & (mass | (np.bincount(of_bucket, open_)[of_bucket] > 0))
-            split = mass | (np.bincount(of_bucket, open_ | partner) > hot)[of_bucket]
-            for rows, status in ((repeats, _REPEATS), (open_, _OPEN), (partner, _PARTNER)):
+            route, bucket, kind, ua, ub, first, last = (table.column(i).to_numpy() for i in range(7))
+            mass, done = kind >= _HEAVY, kind == _SETTLED
+            kind = kind % _HEAVY
+            group = np.cumsum(np.append(True, route[1:] != route[:-1])) - 1
+            many = np.bincount(group, ~done)[group]
+            known = ~done & (kind == _SEVERAL)
+            met = ~done & (mass | (many > 1))
+            open_ = ~done & ~known & (met | (kind == _PERIODIC))
+            split = mass | (many > hot)
+            for rows, status in ((done | known, _REPEATS), (open_, _OPEN), (known & met, _PARTNER)):
                 if rows.any():
                     yield _batch([np.full(rows.sum(), status), split[rows], bucket[rows], ua[rows], ub[rows], first[rows], last[rows]], _STATUS)
 
@@ -279,59 +283,36 @@ def sub_buckets(context: bytes, bucket: int, length: int) -> list[tuple[int, int
 def _fetch(length: int):
     """Rows (ua, ub, text, asked) to the bytes of the pieces asked for."""
 
+    def send(shared):
+        """One row stands for rows of a batch with the same key and bytes; the windows of each of them are known to repeat."""
+        out = []
+        for (key, context), rows in shared.items():
+            out.append((key, rows[0][0] and len(rows) == 1, *rows[0][1:], context))
+            if len(rows) > 1:
+                out += [(row[1] ^ row[3], *row, None) for row in rows if row[0]]
+        yield _batch(list(zip(*out)), _CONTEXT)
+
     def run(batches):
         for batch in batches:
-            out, size, shared = [], 0, {}
+            size, shared = 0, {}
             ua, ub = (batch.column(i).to_pylist() for i in (0, 1))
             for n, text in enumerate(utf8(batch.column(2))):
                 for x in batch.column(3)[n].as_py():
                     context, open_ = text[x["first"] : x["last"] + length], x["kind"] == _OPEN
-                    if not x["split"]:
-                        out.append((x["bucket"], open_, ua[n], ub[n], x["first"], x["last"] - x["first"] + 1, context))
-                        size += len(context)
-                        continue
-                    for key, a, b in sub_buckets(context, x["bucket"] % 2**64, length):
-                        shared.setdefault((key, context[a : b + length]), []).append((open_, ua[n], ub[n], x["first"] + a, b - a + 1))
-                    if size > BLOCK:
-                        yield _batch(list(zip(*out)), _CONTEXT)
-                        out, size = [], 0
-            for (key, context), rows in shared.items():  # equal parts of hot buckets are settled here; one stands for them
-                out.append((key, rows[0][0] and len(rows) == 1, *rows[0][1:], context))
-                if len(rows) > 1:
-                    out += [(row[1] ^ row[3], *row, None) for row in rows if row[0]]
-                size += len(context)
-                if size > BLOCK:
-                    yield _batch(list(zip(*out)), _CONTEXT)
-                    out, size = [], 0
-            if out:
-                yield _batch(list(zip(*out)), _CONTEXT)
+                    parts = sub_buckets(context, x["bucket"] % 2**64, length) if x["split"] else [(x["bucket"], 0, x["last"] - x["first"])]
+                    for key, a, b in parts:
+                        rows = shared.setdefault((key, context[a : b + length]), [])
+                        size += 0 if rows else b - a + length
+                        rows.append((open_, ua[n], ub[n], x["first"] + a, b - a + 1))
+                    if size > 8 * BLOCK:
+                        yield from send(shared)
+                        size, shared = 0, {}
+            if shared:
+                yield from send(shared)
 
     return run
 
 
-def cover_ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ranks, where): equality classes of the REACH-byte strings at the cover's sample positions.
-
-    ``where`` gives a sample position's place in ``ranks``. ``data`` ends in REACH bytes of padding.
-    """
-    n = len(data) - REACH
-    slot = np.full(PERIOD, -1)
-    slot[COVER] = np.arange(len(COVER))
-    rounds = -(-n // PERIOD)
-    sample = (np.arange(rounds)[:, None] * PERIOD + COVER).ravel()
-    sample = sample[sample < n]
-    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), 0, (1,))
-    of = np.unique(words[sample[:, None] + np.arange(0, PERIOD, 8)], return_inverse=True)[1].reshape(-1, 4)
-    two = np.unique(of[:, :3:2] * (int(of.max(initial=0)) + 1) + of[:, 1::2], return_inverse=True)[1].reshape(-1, 2)
-    rank = np.unique(two[:, 0] * (int(two.max(initial=0)) + 1) + two[:, 1], return_inverse=True)[1]
-    width, step = PERIOD, len(COVER)
-    while width < REACH:  # a sample position plus a multiple of the period is one too
-        later = np.append(rank[step:], np.full(min(step, len(rank)), rank.max(initial=0) + 1))
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + later[: len(rank)], return_inverse=True)[1]
-        width, step = width * 2, step * 2
-    return rank, slot
-
-
 def _shifts() -> np.ndarray:
     """For two residues, the least shift that takes both into the cover."""
     inside = np.zeros(PERIOD, bool)
@@ -341,48 +322,107 @@ def _shifts() -> np.ndarray:
 
 
 SHIFT = _shifts()
+_SLOT = np.full(PERIOD, -1)
+_SLOT[COVER] = np.arange(len(COVER))
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as a number in the order of bytes; zeros follow the end."""
+    return np.ndarray((len(data) + PERIOD,), ">u8", data.tobytes() + bytes(PERIOD + 8), 0, (1,))
+
+
+def cover_ranks(words: np.ndarray, n: int) -> np.ndarray:
+    """The rank, in suffix order, of each of the suffixes at the cover's sample positions below ``n``.
+
+    Ranks after the first PERIOD bytes double their reach until no two tie: a sample position plus
+    a multiple of the period is one too. Of two suffixes with one a beginning of the other the shorter comes first.
+    """
+    sample = (np.arange(-(-n // PERIOD))[:, None] * PERIOD + COVER).ravel()
+    sample = sample[sample < n]
+    one, two = (words[sample + k].astype(np.uint64) for k in (0, 8))
+    live = np.lexsort((two, one))
+    fresh = np.append(True, (one[live][1:] != one[live][:-1]) | (two[live][1:] != two[live][:-1]))
+    rank, step = np.empty(len(sample), np.int64), len(COVER)
+    begun = np.flatnonzero(fresh)
+    size = np.diff(np.append(begun, len(live)))
+    rank[live] = np.repeat(begun, size)
+    live = live[np.repeat(size > 1, size)]
+    while len(live):
+        inside = live + step < len(sample)
+        later = np.where(inside, rank[np.minimum(live + step, len(sample) - 1)], live - len(sample) - step)
+        held = rank[live]
+        order = np.lexsort((later, held))
+        live, later, held = live[order], later[order], held[order]
+        group = np.append(True, held[1:] != held[:-1])
+        part = group | np.append(True, later[1:] != later[:-1])
+        place = np.arange(len(live))
+        first_of_group, first_of_part = (np.maximum.accumulate(np.where(x, place, 0)) for x in (group, part))
+        rank[live] = held + first_of_part - first_of_group
+        size = np.diff(np.append(np.flatnonzero(part), len(live)))
+        live, step = live[np.repeat(size > 1, size)], step * 2
+    return rank
+
+
+def _settle_ties(at: np.ndarray, tie: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Suffixes that tie in their leading words, put in order group by group; ``tie`` numbers the groups in order.
+
+    Suffixes of one residue are in the order of one sample rank; the lists of two residues merge
+    by the ranks at the shift that takes both into the cover.
+    """
+
+    def keys(part: slice, residue: int, shift: int) -> np.ndarray:
+        return tie[part] * (len(rank) + 1) + rank[(at[part] + shift) // PERIOD * len(COVER) + _SLOT[(residue + shift) % PERIOD]]
+
+    order = np.argsort(at % PERIOD, kind="stable")
+    at, tie = at[order], tie[order]
+    edges = np.searchsorted(at % PERIOD, np.arange(PERIOD + 1)).tolist()
+    parts = [(a, slice(i, j)) for a, (i, j) in enumerate(zip(edges, edges[1:])) if i < j]
+    place = np.empty(len(at), np.int64)
+    for a, own in parts:
+        by = np.argsort(keys(own, a, int(SHIFT[a, a])), kind="stable")
+        at[own], tie[own] = at[own][by], tie[own][by]
+        place[own] = np.arange(len(by))
+    for i, (a, one) in enumerate(parts):
+        for b, other in parts[:i]:
+            shift = int(SHIFT[a, b])
+            x, y = keys(one, a, shift), keys(other, b, shift)
+            place[one] += np.searchsorted(y, x)
+            place[other] += np.searchsorted(x, y)
+    out = at.copy()
+    out[place] = at
+    return out
+
+
+def suffix_buckets(data: np.ndarray, starts: np.ndarray, most: int = BUCKET):
+    """The suffixes at ``starts`` in suffix order, one bucket after another; each position once."""
+    words = _words(data)
+    rank = cover_ranks(words, len(data))
+    lead = (words[starts].astype(np.uint64) >> np.uint64(48)).astype(np.int64)
+    counts = np.bincount(lead, minlength=1 << 16)
+    of = ((np.cumsum(counts) - counts) // most)[lead]  # leading byte pairs, together as far as they go in one bucket
+    by = np.argsort(of, kind="stable")
+    for own in np.split(starts[by], np.flatnonzero(np.diff(of[by])) + 1):
+        one, two = (words[own + k].astype(np.uint64) for k in (0, 8))
+        order = np.lexsort((two, one))
+        own, one, two = own[order], one[order], two[order]
+        fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(own) else np.zeros(0, bool)
+        group = np.cumsum(fresh) - 1
+        tied = np.bincount(group)[group] > 1 if len(own) else fresh
+        if tied.any():
+            own[tied] = _settle_ties(own[tied], group[tied], rank)
+        yield own
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """For each window start, whether an equal window starts at another of ``starts``."""
-    padded = np.concatenate([data, np.zeros(REACH + length, np.uint8)])
-    rank, slot = cover_ranks(padded)
-    raw = padded.tobytes()
-    words = np.ndarray((len(padded) - 7,), "<u8", raw, 0, (1,))
-    hashes = _hashes(_prefix(data), length)[starts]
-
-    def equal(i, j):
-        """Whether the windows at i and j are equal, by look-ups."""
-        same = np.ones(len(i), bool)
-        for at in (*range(0, PERIOD, 8), *range(length - PERIOD, length, 8)):
-            same &= words[i + at] == words[j + at]
-        for base in sorted({0, *range(REACH - PERIOD, length - REACH - PERIOD + 1, REACH - PERIOD), length - REACH - PERIOD + 1}):
-            shift = base + SHIFT[(i + base) % PERIOD, (j + base) % PERIOD]
-            a, b = i + shift, j + shift
-            same &= rank[a // PERIOD * len(COVER) + slot[a % PERIOD]] == rank[b // PERIOD * len(COVER) + slot[b % PERIOD]]
-        return same
-
-    out = np.zeros(len(starts), bool)
-    lead = data[starts]
-    by_lead = np.argsort(lead, kind="stable")
-    edges = np.searchsorted(lead[by_lead], np.arange(257))
-    for a, b in zip(edges[:-1], edges[1:]):  # one suffix bucket at a time
-        if b - a < 2:
-            continue
-        own = by_lead[a:b]
-        own = own[np.argsort(hashes[own], kind="stable")]
-        tied = np.flatnonzero(hashes[own][1:] == hashes[own][:-1])
-        if not len(tied):
-            continue
-        good = equal(starts[own[tied]], starts[own[tied + 1]])
-        out[own[tied[good]]] = out[own[tied[good] + 1]] = True
-        for h in np.unique(hashes[own[tied[~good]]]):  # different windows of one hash: told apart by their bytes
-            seen: dict[bytes, list[int]] = {}
-            for w in own[hashes[own] == h].tolist():
-                seen.setdefault(raw[starts[w] : starts[w] + length], []).append(w)
-            for group in seen.values():
-                out[group] = len(group) > 1
-    return out
+    words, hit = _words(data), np.zeros(len(data) + 1, bool)
+    steps = (*range(0, length - 7, 8), length - 8)
+    for own in suffix_buckets(data, starts):
+        same = np.arange(max(0, len(own) - 1))
+        for at in steps:  # neighbours are compared byte by byte
+            same = same[words[own[same] + at] == words[own[same + 1] + at]]
+        hit[own[same]] = hit[own[same + 1]] = True
+    return hit[starts]
 
 
 _SPAN = "ua long, ub long, first long, last long"
@@ -464,10 +504,10 @@ def heavy_buckets(keyed: DataFrame, length: int, pieces: int, part: int) -> np.n
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, whole_chars: bool = False, hot: int = HOT, heavy: tuple[int, int] = (HEAVY_PIECES, HEAVY_PART)) -> DataFrame:
     """``docs`` without its text, with n_bytes, spans (removed, as byte offsets) and kept (the remaining bytes).
 
-    With ``whole_chars`` a character that a span's edge would cut is kept. ``length``: 192 at least.
+    With ``whole_chars`` a character that a span's edge would cut is kept. ``length``: twice GRAM at least.
     """
-    if length < 2 * PERIOD + REACH:
-        raise ValueError(f"length must be {2 * PERIOD + REACH} at least")
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be {2 * GRAM} at least")
     spark = docs.sparkSession
     tune(spark)
     body, who = F.col(f"`{text}`").cast("string"), F.col(f"`{id_col}`")
@@ -475,16 +515,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     keyed = docs.select(*[v.alias(k) for k, v in keys.items()], body.alias("text"))
     long = keyed.where(F.octet_length("text") >= length)
     cut = long.mapInArrow(_cut(length, heavy_buckets(long, length, *heavy)), _PIECE)
-    status = save(cut.repartition("route").sortWithinPartitions("route").mapInArrow(_settle(hot), _STATUS), "suffix-status")
-    sweep(spark)
-    asked = status.where(F.col("kind") != _REPEATS).groupBy("ua", "ub").agg(F.collect_list(F.struct("kind", "split", "bucket", "first", "last")).alias("asked"))
+    status = save(cut.repartition("route").sortWithinPartitions("route").mapInArrow(_prune(hot), _STATUS), "suffix-status")
+    asked = status.where(F.col("kind") != _REPEATS).groupBy("ua", "ub").agg(F.collect_set(F.struct("kind", "split", "bucket", "first", "last")).alias("asked"))
     fetched = keyed.join(asked, ["ua", "ub"]).select("ua", "ub", "text", "asked").mapInArrow(_fetch(length), _CONTEXT)
     found = save(fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), _SPAN), "suffix-found")
-    sweep(spark)
     spans = status.where(F.col("kind") == _REPEATS).select("ua", "ub", "first", "last").unionByName(found)
     spans = save(spans.groupBy("ua", "ub").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "suffix-spans")
     drop(status, found)
-    sweep(spark)
     new = ("n_bytes", "spans", "kept")
     a, b, whole, hit = (free_name(docs, x) for x in ("ua", "ub", "body", "hit"))
     own = [c for c in docs.columns if c != text and c.lower() not in new]

@@ -1,14 +1,15 @@
 """Token counts of a SentencePiece BPE model by rank-synchronous merging of ragged arrays.
 
 A batch's distinct pre-tokens are held as one flat array of symbols with an array of the
-sequence each belongs to. In each round every sequence merges its lowest-rank pair (leftmost
-on a tie), all sequences at once; sequences without a pair left are finished and leave. What
-survives is counted, byte pieces for characters without a piece included. Counts of pre-tokens
-are kept for the next batches in a bounded table.
-
-A sequence of more than ``LONG`` symbols would need as many rounds as merges, so those are merged
-by a heap, to the same tokens. Null and empty texts have no tokens. Whole texts are counted,
-however long. An empty table gives an empty result.
+sequence each belongs to. In each round every sequence merges its lowest-rank pair, all
+sequences at once (``PieceModel.merge``); sequences without a pair left leave. What survives is
+counted, byte pieces for characters without a piece included. Pre-tokens of any length go the
+same way, long ones as overlapping windows that are put together at a token both hold, so a
+round never holds more than a block of text. Counts of pre-tokens are kept for the next batches
+in a bounded table.
+
+Null and empty texts have no tokens. Whole texts are counted, however long; repeated rows alike.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,49 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm._shared import free_name, tune
-from sluice.llm.piece_model import PieceModel, load
+from sluice.llm.piece_model import PieceModel, in_windows, load
 
-#: Symbols in a sequence beyond which a heap merges it; symbols merged at once; counts kept.
-LONG, BLOCK, KEPT = 256, 1 << 20, 500_000
+#: Texts looked at together, and counts kept.
+TEXTS, KEPT = 256, 500_000
 
 
 def count_pretokens(words: list[str], model: PieceModel) -> np.ndarray:
     """The number of tokens of each pre-token."""
-    out = np.zeros(len(words), np.int64)
-    short = []
-    for i, w in enumerate(words):
-        if len(w) > LONG:
-            out[i] = len(model.spell(model.merge(w)))
-        else:
-            short.append(i)
-    get, none = model.ids.get, -1
-    symbols = np.array([get(c, none) for i in short for c in words[i]], np.int64)
-    sizes = np.array([len(words[i]) for i in short], np.int64)
-    of = np.repeat(np.array(short, np.int64), sizes)
-    extra = np.array([len(c.encode()) - 1 for i in short for c in words[i] if c not in model.ids], np.int64)
-    np.add.at(out, of[symbols < 0], extra)  # a character without a piece counts its bytes
-    keys, merged = model.pair_keys, model.pair_ids
-    while len(symbols) > 1:
-        key = np.where((of[1:] == of[:-1]) & (symbols[1:] >= 0) & (symbols[:-1] >= 0), symbols[:-1] * model.size + symbols[1:], -1)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        rank = np.append(np.where(hit, model.rank[merged[at]], model.none), model.none)
-        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        size = np.diff(np.append(first, len(of)))
-        lowest = np.minimum.reduceat(rank, first)
-        place = np.where(rank == np.repeat(lowest, size), np.arange(len(rank)), len(rank))
-        chosen = np.minimum.reduceat(place, first)
-        live = lowest < model.none
-        done = np.repeat(~live, size)
-        np.add.at(out, of[first[~live]], size[~live])
-        chosen = chosen[live]
-        symbols[chosen] = merged[at[chosen]]
-        keep = ~done
-        keep[chosen + 1] = False
-        symbols, of = symbols[keep], of[keep]
-    if len(symbols):
-        out[of[0]] += 1
-    return out
+    of, token, _ = in_windows(words, model.merge)
+    code = -1 - token  # of a character without a piece, which counts its UTF-8 bytes
+    width = np.where(token >= 0, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+    return np.bincount(of, width, len(words)).astype(np.int64)
 
 
 def token_counts(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
@@ -79,21 +49,13 @@ def token_counts(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
         for batch in batches:
             texts = [x or "" for x in batch.column(len(held)).to_pylist()]
             counts = []
-            for k in range(0, len(texts), 64):
-                split = [model.pretokens(x) for x in texts[k : k + 64]]
-                new = list({w for words in split for w in words if w not in known})
-                size = 0
-                part: list[str] = []
-                for w in new:
-                    part.append(w)
-                    size += len(w)
-                    if size > BLOCK:
-                        known.update(zip(part, count_pretokens(part, model).tolist()))
-                        part, size = [], 0
-                known.update(zip(part, count_pretokens(part, model).tolist()))
-                counts += [sum(map(known.__getitem__, words)) for words in split]
+            for k in range(0, len(texts), TEXTS):
                 if len(known) > KEPT:
                     known.clear()
+                split = [model.pretokens(x) for x in texts[k : k + TEXTS]]
+                new = list(set().union(*split).difference(known))
+                known.update(zip(new, count_pretokens(new, model).tolist()))
+                counts += [sum(map(known.__getitem__, words)) for words in split]
             columns = [batch.column(i) for i in range(len(held))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64())], names=[*held, "n_bytes", "n_tokens"])
 

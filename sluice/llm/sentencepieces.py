@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's distinct pre-tokens are laid end to end and indexed by a suffix array, truncated at
-the longest piece. Every piece of the vocabulary is binary-searched in it; the range found is
-all its occurrences, each an edge from where it starts to where it ends. The edges are sorted
-by position and relaxed from left to right: every position keeps the last token of the best
-segmentation of what precedes it.
+A batch's text is indexed by a suffix array that reaches as far as the longest piece: its
+pre-tokens are laid end to end, those that come again in the batch only once. Every piece of the
+vocabulary is binary-searched in it; the range found is all its occurrences, each an edge from
+where it starts to where it ends. The edges are sorted by position and relaxed from left to
+right: every position keeps the last token of the best segmentation of what precedes it.
 
 The model is a BPE model, so "best" is the segmentation its merges make. Two facts turn that
 into a relaxation over edges: a prefix made of whole tokens of a text is segmented as the text
 is, and a segmentation is the merges' own exactly if every token is what its own text merges to
-and every neighbouring pair is what the pair's text merges to. So of the edges that end at a
-position exactly one joins validly to the token kept where it starts. Validity of a pair is
-computed once by merging and kept in a bounded table.
+and no neighbouring pair would be joined across its border. So of the edges that end at a
+position exactly one joins validly to the token kept where it starts. Whether a pair does is
+read off the model's merge trees (``PieceModel.borders``); nothing is merged to find it.
+
+Text is indexed a block at a time, and pre-tokens longer than a window as overlapping windows
+(``piece_model.in_windows``), so memory is bounded whatever a text holds. Nothing is kept from
+batch to batch.
 
 Characters without a piece are hard boundaries and stand as their UTF-8 bytes. Null and empty
 texts have no ids and decode to the empty text. Decoding reads U+2581 as a space, also where
-the text itself held that character. An empty table gives an empty result.
+the text itself held that character. Repeated rows are encoded alike. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm._shared import free_name, tune
-from sluice.llm.piece_model import PieceModel, load
+from sluice.llm.piece_model import PieceModel, in_windows, load
 
-#: Bytes indexed at once; ids of pre-tokens and validities of pairs kept.
-BLOCK, KEPT = 1 << 18, 600_000
+#: Characters of text in a batch, about.
+TEXT = 4 << 20
 _SEPARATOR = b"\xff"  # in no UTF-8 text, and above every byte of one
-_NUL = b"\xfe"  # stands for NUL, which fixed-width comparison would drop
+_WORD = 8  # bytes compared at once
 
 
 class Matcher:
@@ -39,91 +44,109 @@ class Matcher:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        spelled = sorted((p.encode().replace(b"\0", _NUL), i) for i, p in model.pieces.items())
-        self.width = max(len(p) for p, _ in spelled)
-        self.low = np.array([p for p, _ in spelled], f"S{self.width + 1}")
-        self.high = np.array([p + _SEPARATOR * (self.width + 1 - len(p)) for p, _ in spelled], f"S{self.width + 1}")
-        self.piece_ids = np.array([i for _, i in spelled], np.int64)
-        self.lengths = np.array([len(p) for p, _ in spelled], np.int64)
-        self.known_letters = {p for p in model.ids if len(p) == 1}
-        self.whole = np.full(model.size, -1, np.int8)  # whether a piece's own text merges to it; -1: not asked yet
-        self.valid: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        ids = [i for i in model.pieces if model.whole[i]]  # no other piece is ever a token
+        spelled = [model.pieces[i].encode() for i in ids]
+        self.piece_ids, self.lengths = np.array(ids, np.int64), np.array([len(p) for p in spelled], np.int64)
+        self.depth = -(-int(self.lengths.max()) // _WORD)
+        width = self.depth * _WORD
+        read = lambda fill: np.frombuffer(b"".join(p.ljust(width, fill) for p in spelled), ">u8").astype(np.uint64).reshape(-1, self.depth)
+        self.low, self.high = read(b"\0"), read(_SEPARATOR)
+        self.letters = {p for p in model.ids if len(p) == 1}
 
     def edges(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece id) of every occurrence of every piece, sorted by end."""
-        width = self.width + 1
-        padded = np.frombuffer(text.replace(b"\0", _NUL) + _SEPARATOR * width, np.uint8)
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[: len(text)]).view(f"S{width}").ravel()
-        order = np.argsort(suffixes, kind="stable")
-        ranked = suffixes[order]
-        lo, hi = np.searchsorted(ranked, self.low, "left"), np.searchsorted(ranked, self.high, "right")
-        many = hi - lo
-        first = np.repeat(lo, many)
-        within = np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
-        start = order[first + within]
-        end = start + np.repeat(self.lengths, many)
-        by = np.lexsort((start, end))
-        return start[by], end[by], np.repeat(self.piece_ids, many)[by]
-
-    def _merges_to(self, *tokens: int) -> bool:
-        return self.model.merge("".join(self.model.pieces[t] for t in tokens)) == list(tokens)
+        """(start, end, piece id) of every occurrence of every piece.
+
+        The suffix array is refined eight bytes at a time. Pieces that end in those bytes have the
+        range of suffixes between their least and greatest continuation; longer ones go on with
+        the rank of what they share with the suffixes so far, if any shares it.
+        """
+        n = len(text)
+        raw = text + _SEPARATOR * (self.depth + 1) * _WORD
+        words = np.ndarray((n + self.depth * _WORD,), ">u8", raw, 0, (1,)).astype(np.uint64)
+        values, rank = np.unique(words, return_inverse=True)
+        level, open_, prefix = np.zeros(n, np.int64), np.arange(len(self.piece_ids)), np.zeros(len(self.piece_ids), np.int64)
+        out = []
+        for k in range(self.depth):
+            key = level * len(values) + rank[k * _WORD : k * _WORD + n]
+            order = np.argsort(key)
+            key = key[order]
+            base = prefix * len(values)
+            low, high = np.searchsorted(values, self.low[open_, k]), np.searchsorted(values, self.high[open_, k], "right")
+            ends = self.lengths[open_] <= (k + 1) * _WORD
+            first, stop = np.searchsorted(key, (base + low)[ends]), np.searchsorted(key, (base + high)[ends])
+            many, own = stop - first, open_[ends]
+            start = order[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            own = np.repeat(own, many)
+            out.append((start, start + self.lengths[own], self.piece_ids[own]))
+            more = ~ends & (high > low)
+            open_, want = open_[more], (base + low)[more]
+            at = np.minimum(np.searchsorted(key, want), n - 1)
+            open_, at = open_[key[at] == want], at[key[at] == want]
+            if not len(open_):
+                break
+            dense = np.cumsum(np.append(0, key[1:] != key[:-1]))
+            level = np.empty(n, np.int64)
+            level[order], prefix = dense, dense[at]
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For pairs of tokens, whether the right one may follow the left one (below 0: a segment starts)."""
-        for t in np.unique(right[self.whole[right] < 0]).tolist():
-            self.whole[t] = self._merges_to(t)
-        out = self.whole[right] == 1
-        at = np.flatnonzero(out & (left >= 0))
+        out = left < 0
+        at = np.flatnonzero(~out)
         keys, of = np.unique(left[at] * self.model.size + right[at], return_inverse=True)
-        good = np.empty(len(keys), bool)
-        for n, key in enumerate(keys.tolist()):
-            found = self.valid.get(key)
-            if found is None:
-                if len(self.valid) > KEPT:
-                    self.valid.clear()
-                found = self.valid[key] = self._merges_to(*divmod(key, self.model.size))
-            good[n] = found
-        out[at] = good[of]
+        out[at] = self.model.borders(keys // self.model.size, keys % self.model.size)[of]
         return out
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each pre-token, as little-endian 32-bit integers. All pre-tokens are relaxed together, position by position."""
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, token, start) of all words' tokens, in order; starts in bytes. A token below 0 stands for a character's bytes.
+
+        All words are relaxed together, position by position.
+        """
         raw = [w.encode() for w in words]
         sizes = np.array([len(x) for x in raw], np.int64)
         base = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))  # a position more than bytes: where the separator stands
         text = _SEPARATOR.join(raw)
         start, end, token = self.edges(text)
-        bare = [(int(b) + p, n) for w, b in zip(words, base) if not self.known_letters.issuperset(w) for p, n in self._bare(w)]
+        bare = [(int(b) + p, n) for w, b in zip(words, base) if not self.letters.issuperset(w) for p, n in self._bare(w)]
         if bare:  # characters without a piece are edges of their own, always taken
             at, n = np.array(bare, np.int64).T
-            start, end, token = np.concatenate([start, at]), np.concatenate([end, at + n]), np.concatenate([token, np.full(len(at), -2)])
-        place = end - base[np.searchsorted(base, start, "right") - 1]
-        order = np.argsort(place, kind="stable")
+            start, end, token = np.concatenate([start, at]), np.concatenate([end, at + n]), np.concatenate([token, -1 - n])
+        place = end - np.repeat(base, sizes + 1)[start]
+        order = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")
         start, end, token, place = start[order], end[order], token[order], place[order]
-        last, back = np.full(len(text) + 1, -3), np.zeros(len(text) + 1, np.int64)
+        unseen = -100
+        last, back = np.full(len(text) + 1, unseen), np.zeros(len(text) + 1, np.int64)
         last[base] = -1
         cuts = np.flatnonzero(np.diff(place)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
             s, e, t = start[a:b], end[a:b], token[a:b]
             take = t < 0
-            ask = np.flatnonzero(~take & (last[s] != -3))
+            ask = np.flatnonzero(~take & (last[s] != unseen))
             take[ask] = self.joins(last[s[ask]], t[ask])
             last[e[take]], back[e[take]] = t[take], s[take]
         steps, at, own = [], base + sizes, np.arange(len(words))
         while len(live := np.flatnonzero(at > base[own])):
             at, own = at[live], own[live]
-            steps.append((own, last[at], back[at], at - back[at]))
+            steps.append((own, last[at], back[at]))
             at = back[at]
         if not steps:
-            return [b""] * len(words)
-        own, token, at, width = (np.concatenate(x[::-1]) for x in zip(*steps))
-        order = np.lexsort((at, own))
-        own, token, at, width = own[order], token[order], at[order], np.where(token[order] < 0, width[order], 1)
-        inside = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-        token, at = np.repeat(token, width), np.repeat(at, width) + inside
-        ids = np.where(token >= 0, token, self.model.byte_ids[np.frombuffer(text, np.uint8)[at]]).astype("<i4")
-        ends = np.cumsum(np.bincount(own, width, len(words)).astype(np.int64)).tolist()
+            return (np.zeros(0, np.int64),) * 3
+        own, token, at = (np.concatenate(x) for x in zip(*steps))
+        order = np.argsort(at, kind="stable")
+        return own[order], token[order], (at - base[own])[order]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian 32-bit integers."""
+        own, token, at = in_windows(words, self.tokens, lambda x: len(x.encode()))
+        if (token < 0).any():  # spelled out in bytes
+            raw = np.frombuffer(b"".join(w.encode() for w in words), np.uint8)
+            sizes = np.bincount(np.repeat(np.arange(len(words)), [len(w.encode()) for w in words]), minlength=len(words))
+            width = np.where(token < 0, -1 - token, 1)
+            place = np.repeat((np.cumsum(sizes) - sizes)[own] + at - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+            own, token = np.repeat(own, width), np.repeat(token, width)
+            token = np.where(token < 0, self.model.byte_ids[raw[np.minimum(place, len(raw) - 1)]], token)
+        ids = token.astype("<i4")
+        ends = np.cumsum(np.bincount(own, minlength=len(words))).tolist()
         return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
     def _bare(self, word: str):
@@ -131,7 +154,7 @@ class Matcher:
         at = 0
         for c in word:
             n = len(c.encode())
-            if c not in self.model.ids:
+            if c not in self.letters:
                 yield at, n
             at += n
 
@@ -147,21 +170,24 @@ def _matcher(content: bytes) -> Matcher:
 
 
 def encode_texts(texts: list[str], matcher: Matcher) -> list[np.ndarray]:
-    """The ids of each text; the ids of pre-tokens are kept from call to call."""
-    known = matcher.known
-    if len(known) > KEPT:
-        known.clear()
+    """The ids of each text of a batch."""
     split = [matcher.model.pretokens(x) for x in texts]
-    part, size = [], 0
-    for w in {w for words in split for w in words if w not in known}:
-        part.append(w)
-        size += len(w)
-        if size > BLOCK:
-            known.update(zip(part, matcher.encode(part)))
-            part, size = [], 0
-    if part:
-        known.update(zip(part, matcher.encode(part)))
-    return [np.frombuffer(b"".join([known[w] for w in words]), "<i4") for words in split]
+    words = list(set().union(*split))
+    ids = dict(zip(words, matcher.encode(words))).__getitem__
+    return [np.frombuffer(b"".join(map(ids, own)), "<i4") for own in split]
+
+
+def _batches(texts: list[str]):
+    """Consecutive ranges of texts, each of about TEXT characters; a longer text stands alone."""
+    first = size = 0
+    for n, x in enumerate(texts):
+        if n > first and size + len(x) > TEXT:
+            yield first, n
+            first = n
+            size = 0
+        size += len(x)
+    if texts:
+        yield first, len(texts)
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
@@ -178,11 +204,11 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
         matcher = _matcher(content)
         for batch in batches:
             texts = [x or "" for x in batch.column(len(held)).to_pylist()]
-            for k in range(0, len(texts), 500):
-                ids = encode_texts(texts[k : k + 500], matcher)
+            for a, b in _batches(texts):
+                ids = encode_texts(texts[a:b], matcher)
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-                columns = [batch.column(i).slice(k, 500) for i in range(len(held))]
+                columns = [batch.column(i).slice(a, b - a) for i in range(len(held))]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array([matcher.model.decode(x.tolist()) for x in ids], pa.string())], names=[*held, "ids", "decoded"])
 
     return rows.mapInArrow(run, schema)

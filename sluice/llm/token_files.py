@@ -3,18 +3,20 @@
 Documents are dealt out by ranges of their id and sorted within, so the files in order of
 name, and the rows in order within each, are the documents in ascending id (null first; rows
 that repeat an id follow each other, in the order of the input's partitions). A row holds the
-document's id, the number of ids before it in its file, its number of ids and the ids, end id
-included. Readers may start at any stripe; a lookup by id skips files, stripes and row groups
+document's id, the number of ids before it in the files of its task, its number of ids and the
+ids, end id included; a task may write several files. Readers may start at any stripe; a lookup by id skips files, stripes and row groups
 by their statistics and Bloom filters.
 
 Texts are encoded by the tokenizers library in pieces, cut where byte-level BPE's pre-tokenizer
 always cuts, so the ids are those of the whole text; the ids of a piece that comes again are
-taken from a bounded table. Null and empty texts hold the end id alone. An empty table gives
-files without rows.
+taken from a bounded table. Definitions with another pre-tokenizer, or with a normalizer, are not
+cut: then whole texts are encoded. Null and empty texts hold the end id alone. An empty table
+gives files without rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -36,6 +38,16 @@ _ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n
 _loaded: dict[int, Encoder] = {}
 
 
+def cuts_at_spaces(definition: str) -> bool:
+    """Whether a tokenizer's definition is byte-level BPE that cuts before spaces, so that pieces between them are encoded on their own."""
+    known = json.loads(definition)
+    before, model = known.get("pre_tokenizer") or {}, known.get("model") or {}
+    level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    plain = not known.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges")
+    added = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"])) for t in known.get("added_tokens") or [])
+    return model.get("type") == "BPE" and level and plain and added
+
+
 class Encoder:
     """The tokenizers library's encoding of texts, piece by piece, each distinct piece once while it is kept."""
 
@@ -44,6 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.cuts = cuts_at_spaces(definition)
+        if not self.cuts:
+            return
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         added = self.tokenizer.get_added_tokens_decoder()
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of text behind each id
@@ -72,6 +87,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids."""
+        if not self.cuts:
+            return self._ids(texts)
         known, first = self.known, self.first
         if len(known) + len(first) > KEPT:
             known.clear()
@@ -142,14 +159,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "do
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) over all files; start counts the ids of all documents before.
 
-    The files' totals come from a narrow read; one small row a file is summed in file order.
+    Totals by writing task come from a narrow read; one small row a task is summed in their order.
     """
-    rows = spark.read.orc(path).select("doc_id", "start", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    place = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")  # of the task that wrote the file
-    before = F.coalesce(F.sum("n").over(Window.orderBy(place, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("file", before.alias("base"))
-    return rows.join(broadcast_if_small(bases), "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
+    place = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")  # the task that wrote the file
+    rows = spark.read.orc(path).select("doc_id", "start", "n_tokens", "ids", place.alias("place"))
+    totals = rows.groupBy("place").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    bases = totals.select("place", F.coalesce(before, F.lit(0)).alias("base"))
+    return rows.join(broadcast_if_small(bases), "place").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, ids: list) -> DataFrame:

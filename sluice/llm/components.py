@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import drop, save
+from sluice.llm._shared import drop, join_on, save
 
 #: So many edges (16 bytes each) may be finished by one task.
 LOCAL_EDGES = 2_000_000
@@ -45,12 +45,17 @@ def _contract(batches):
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star step, then one small-star step, on edges (node, root) with node > root."""
-    both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-    least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("m", "node").alias("m"))
-    large = both.where("root > node").join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).where("node != root").distinct()
-    least = large.groupBy("node").agg(F.min("root").alias("m"))
-    moved = large.join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).where("node != root")
+    """One large-star step, then one small-star step, on edges (node, root) with node > root.
+
+    Nodes with a large share of the edges are joined apart from the others.
+    """
+    both = save(edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root"))), "stars-both")
+    least = save(both.groupBy("node").agg(F.min("root").alias("m"), F.count("*").alias("n")), "stars-least")
+    near = least.select("node", F.least("m", "node").alias("m"))
+    large = join_on(both.where("root > node"), near, "node", least.select("node", "n")).select(F.col("root").alias("node"), F.col("m").alias("root"))
+    large = save(large.where("node != root").distinct(), "stars-large")
+    least = save(large.groupBy("node").agg(F.min("root").alias("m"), F.count("*").alias("n")), "stars-least")
+    moved = join_on(large, least.select("node", "m"), "node", least.select("node", "n")).select(F.col("root").alias("node"), F.col("m").alias("root")).where("node != root")
     return moved.unionByName(least.select("node", F.col("m").alias("root"))).distinct()
 
 

@@ -31,17 +31,28 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, id int").repartition(3)
 
 
-@pytest.mark.parametrize("bound", [topk.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("bound", [topk.BROADCAST_BYTES, 1])
 def test_top_k(spark, bound):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=24).round(2).tolist()) for i in range(400)]
     rows += [(i, rows[i % 7][1]) for i in range(400, 460)]  # ties
     rows += [rows[3], rows[50], (None, rows[1][1]), (500, None), (501, [None] * 24), (502, [float("nan")] * 24), (503, [float("inf")] * 24), (550, [1.0, 2.0]), (551, [1.0, -2.0]), (600, [])]
-    found = topk.top_k(vectors(spark, [(*r, "x", 1) for r in rows]), F.col("id") % 50 == 0, broadcast_bytes=bound, salts=3)
+    found = topk.top_k(vectors(spark, [(*r, "x", 1) for r in rows]), F.col("id") % 50 == 0, broadcast_bytes=bound)
     assert found.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(map(tuple, found.collect())) == plain_top(rows, 5)
 
 
+def exact_top(rows, k):
+    """As ``plain_top``, for components of any size."""
+    number = lambda x: int(x) * 256 if abs(x) > 1e300 else int(np.floor(256 * x))
+    whole, out = [(i, [number(x) for x in v]) for i, v in rows], []
+    for q, v in whole:
+        if q % 50 == 0:
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), c) for c, w in whole if c != q)[:k]
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)]
+    return sorted(out)
+
+
 def test_top_k_of_large_components_and_nothing(spark):
     rows = [(0, [1e6, -2e6, 3e9]), (1, [2e6, 1e6, 1e9]), (2, [1e6, 1e6, -4e9]), (3, [1e15, 0.0, 1e15])]
     found = topk.top_k(vectors(spark, [(*r, "x", 1) for r in rows]), F.col("id") % 50 == 0)
@@ -49,14 +60,36 @@ def test_top_k_of_large_components_and_nothing(spark):
     assert topk.top_k(vectors(spark, []), F.col("id") % 50 == 0).count() == 0
 
 
-def test_pruning_loses_nothing():
+def test_top_k_of_components_beyond_any_integer_type(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=20) * 10.0 ** (rng.integers(0, 307) if i % 3 else 0)).tolist()) for i in range(160)]
+    rows += [(150 + i, [s * 1e307] * 20) for i, s in ((10, 1), (11, -1), (50, 1))] + [(170, [1.7e308, -1.7e308] * 10)]
+    found = topk.top_k(vectors(spark, [(*r, "x", 1) for r in rows]), F.col("id") % 50 == 0)
+    assert sorted(map(tuple, found.collect())) == exact_top(rows, 5)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e200])
+def test_pruning_loses_nothing_and_prunes_more_and_more(scale):
     rng = np.random.default_rng(8)
-    pool, queries = np.floor(rng.normal(size=(900, 64)) * 90), np.floor(rng.normal(size=(20, 64)) * 90)
-    pool[::3] = np.floor(pool[::3] * 0.2)
-    for i, ids, scores in topk.search(queries, np.arange(20), pool, np.arange(100, 1000), 5):
-        full = pool @ queries[i]
-        best = np.lexsort((np.arange(100, 1000), -full))[:5]
-        assert ids.tolist() == (best + 100).tolist() and scores.tolist() == full[best].tolist()
+    n = 900 if scale == 1 else 200
+    pool, queries = rng.normal(size=(n, 64)), rng.normal(size=(20, 64))
+    pool[::3] *= 0.2
+    best, ids = topk.Best(queries * scale, np.arange(20), 5), np.arange(100, 100 + n)
+    left = []
+    for k in range(0, n, 100):
+        before = dict(best.survivors)
+        best.add(pool[k : k + 100], ids[k : k + 100])
+        left.append(sum(best.survivors.values()) - sum(before.values()))
+    if scale == 1:
+        for i in range(20):
+            full = np.floor(pool * 256) @ np.floor(queries[i] * 256)
+            order = np.lexsort((ids, -full))[:5]
+            assert best.found[i].tolist() == ids[order].tolist() and best.scores[i].tolist() == full[order].tolist()
+        total = [best.survivors[x] for x in sorted(best.survivors)]
+        assert total == sorted(total, reverse=True) and total[2] < total[0] / 10  # fewer after each block of dimensions
+        assert left[-1] < left[0] * 0.8  # and after each block of candidates
+    else:
+        assert (best.count == 5).all() and (np.abs(best.scores) == 2**63 - 1).any()
 
 
 # Mixing
@@ -176,6 +209,58 @@ def test_token_files(spark, tmp_path):
     assert token_files.lookup(spark, path, [900, 77]).count() == 2
 
 
+@pytest.mark.parametrize("most", [7, 0])
+def test_starts_count_over_all_files_of_a_task(spark, tmp_path, most):
+    rows = [(i, "word " * (i % 11)) for i in range(60)]
+    path = str(tmp_path / "ids")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+    try:
+        token_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, public_tokenizers.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    at = 0
+    for r in token_files.read_ids(spark, path).orderBy("doc_id").collect():
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_bloom_filters_are_in_the_files_and_lookups_skip_row_groups(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    rows = spark.range(0, 8000, 2, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        token_files.write_ids(rows, path, public_tokenizers.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    jvm, files = spark._jvm, sorted(x for x in tmp_path.joinpath("ids").iterdir() if x.suffix == ".orc")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    blooms = 0
+    for file in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        kinds = [s.getKind().toString() for s in reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()]
+        blooms += any("BLOOM" in k for k in kinds)
+    assert blooms == len(files) > 0
+    found = token_files.lookup(spark, path, [4000])
+    assert [r.doc_id for r in found.collect()] == [4000]
+    plan = found._jdf.queryExecution().executedPlan()
+    while not plan.metrics().contains("numFiles"):
+        plan = plan.children().head()
+    assert plan.metrics().apply("numOutputRows").value() <= 1000  # of 4000: one row group
+    missing = token_files.lookup(spark, path, [4001])  # inside the range of ids, so only a Bloom filter can tell
+    assert missing.count() == 0
+
+
+def test_other_definitions_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_files.Encoder(open(file, encoding="utf-8").read())
+    texts = ["", "A few  words, here", " and\nthere "]
+    assert not encoder.cuts and token_files.Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()).cuts
+    assert [x.tolist() for x in encoder.encode(texts)] == [Tokenizer.from_file(file).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     path = str(tmp_path / "ids")
     token_files.write_ids(spark.createDataFrame([], "doc_id long, text string"), path, public_tokenizers.path("byte_bpe_50k.json"))

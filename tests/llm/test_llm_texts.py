@@ -118,6 +118,56 @@ def test_components(spark, local, tmp_path):
     assert components.components(save(spark.createDataFrame([], "a long, b long"), "edges"), local).count() == 0
 
 
+def test_a_variant_that_very_many_share_is_split(spark):
+    from sluice.llm._shared import save
+
+    rng = np.random.default_rng(9)
+    half = 0x1234567 << 32  # one segment is the same in all
+    low = rng.choice(2**32, 50_000, replace=False).astype(np.int64)
+    near = [int(x) ^ sum(1 << int(b) for b in rng.choice(32, rng.integers(1, 4), replace=False)) for x in low[:300]]
+    bits = np.unique(np.concatenate([low, near])) | half
+    df = save(spark.createDataFrame([(int(b),) for b in bits], "bits long"), "crowd")
+    crowded = simhash._crowded(df, 2, 4096)
+    assert crowded.count() == 32 and crowded.where("needed").count() == 1
+    other = half ^ (1 << 40)  # and one bit apart in some
+    bits = np.unique(np.concatenate([bits, low[:200] | other]))
+    df = save(spark.createDataFrame([(int(b),) for b in bits], "bits long"), "crowd")
+    found = {tuple(r) for r in simhash.links(df, "bits", 3).collect()}
+    sought = bits.astype(np.uint64)
+    pairs = [(int(b), int(x)) for b in (half | low[:300]) for x in bits[np.bitwise_count(sought ^ np.uint64(b)) <= 3] if x != b]
+    label = {}
+
+    def root(x):
+        while x in label:
+            x = label[x]
+        return x
+
+    for a, b in found:
+        assert bin(a ^ b).count("1") <= 3
+        if root(a) != root(b):
+            label[root(a)] = root(b)
+    assert len(pairs) >= 290 and all(root(a) == root(b) for a, b in pairs)
+
+
+def test_keys_that_hold_many_rows_are_joined_apart(spark, monkeypatch):
+    from sluice.llm import _shared
+
+    left = _shared.save(spark.range(3000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))).alias("k"), "id"), "left")
+    right = _shared.save(spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(7, 14)], "k long, v long")), "right")
+    want = {how: sorted(map(tuple, left.join(right, "k", how).collect()), key=repr) for how in ("inner", "left")}
+    for rows in (_shared.BROADCAST_ROWS, 10):
+        monkeypatch.setattr(_shared.is_small, "__defaults__", (rows, _shared.BROADCAST_BYTES))
+        for how, rows_wanted in want.items():
+            assert sorted(map(tuple, _shared.join_on(left, right, "k", how=how).collect()), key=repr) == rows_wanted
+
+
+def test_what_is_broadcast_is_bounded_in_bytes_too(spark):
+    from sluice.llm._shared import is_small
+
+    wide = spark.range(100).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    assert is_small(wide, 100) and not is_small(wide, 99) and not is_small(wide, 100, 900_000)
+
+
 def test_simhash_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.groups(df).count() == 0 and simhash.keep_one(df).count() == 0
@@ -202,6 +252,71 @@ def test_toxicity_learns_words_and_locates_them(spark):
     assert all(r.score < 0.5 for r in toxicity.score(docs, one).collect())
 
 
+def test_gradient_of_the_noisy_or_loss():
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(1, 30)).replace("\n", ". ") for _ in range(25)] + [""]
+    bags = toxicity.Bags(texts, [i % 3 == 0 for i in range(25)] + [0])
+    theta = np.random.default_rng(1).normal(size=len(bags.seen)) * 0.3
+    loss, by_weight, by_bias = bags.loss(theta, -1.0)
+    weight_of = dict(zip(bags.seen.tolist(), theta))
+    plain = []
+    for text, y in zip(texts, bags.y):  # from the definition
+        none = 1.0
+        for bag in toxicity.bags(text):
+            none *= 1 - 1 / (1 + np.exp(1.0 - sum(weight_of[f] for w in bag for f in toxicity.features(w))))
+        plain.append(-np.log(max(1 - none, 1e-9)) if y else -np.log(none))
+    assert abs(loss - np.mean(plain)) < 1e-6
+    for k in range(0, len(theta), 7):
+        step = np.zeros(len(theta))
+        step[k] = 1e-5
+        assert abs((bags.loss(theta + step, -1.0)[0] - bags.loss(theta - step, -1.0)[0]) / 2e-5 - by_weight[k]) < 1e-6
+    assert abs((bags.loss(theta, -1.0 + 1e-5)[0] - bags.loss(theta, -1.0 - 1e-5)[0]) / 2e-5 - by_bias) < 1e-6
+    mask = np.arange(26) % 2 == 0
+    part, own = bags.part(mask), toxicity.Bags([t for t, m in zip(texts, mask) if m], bags.y[mask])
+    assert abs(part.loss(theta, 0.3)[0] - own.loss(np.array([weight_of[f] for f in own.seen.tolist()]), 0.3)[0]) < 1e-9
+
+
+def test_scores_are_the_noisy_or_of_sentences():
+    rng = random.Random(8)
+    weights = np.random.default_rng(2).normal(size=toxicity.FEATURES).astype(np.float32)
+    scorer = toxicity.Scorer((weights, -2.0), 0.5)
+    texts = [x or "" for x in odd_texts()] + [prose(rng, n) for n in (1, 5, 40, 300)] + ["...", "One. TWO two! Three\nfour", "İstanbul ΑΣ.Β end", "no stop " * 20_000]
+    scores, spans = scorer.score(texts)
+    for text, score, found in zip(texts, scores, spans):
+        none, want = 1.0, []
+        places = [m.span() for m in re.finditer(r"[^.!?\n]+", text) if re.search(r"[^\W\d_]", m.group())]
+        for place, part in zip(places, [x for x in re.split(r"[.!?\n]", text.lower()) if re.search(r"[^\W\d_]", x)]):
+            p = 1 / (1 + np.exp(2.0 - sum(float(weights[toxicity.features(w)].astype(np.float64).sum()) for w in set(re.findall(r"[^\W\d_]+", part)))))
+            none *= 1 - p
+            if p >= 0.5:
+                want.append(place)
+        assert abs(score - (1 - none)) < 1e-6
+        assert [(x["start"], x["end"]) for x in found] == want
+
+
+def test_training_is_bounded_and_the_same_for_any_order_of_rows(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30) + (" blort" if i % 2 else "")) for i in range(400)] + [(1, "another text"), (1, "another text"), (3, "x " * 50_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(5, 0)], "doc_id long, toxic int")
+    models = []
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        models.append(toxicity.train(docs, labels.repartition(n), max_rows=100, max_bytes=40_000))
+    assert np.array_equal(models[0][0], models[1][0]) and models[0][1] == models[1][1] and models[0][0].any()
+    turned = labels.where("doc_id != 5").select(F.col("doc_id").alias("of"), "toxic", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 60) - 1)).alias("turn"))
+    chosen = toxicity._chosen(turned, 50)
+    counts = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    assert all(25 < n <= 50 for n in counts.values())
+
+
+def test_the_charge_is_chosen_without_the_rows_it_is_tried_on():
+    rng = random.Random(5)
+    texts = [prose(rng, 40) + (" blort" if i % 2 else "") for i in range(120)]
+    weights, bias, charge = toxicity.fit(texts, [i % 2 for i in range(120)])
+    assert charge in toxicity.CHARGES and weights[toxicity.features("blort")].sum() > 1
+    assert toxicity.fit(texts[:2], [0, 1])[2] == toxicity.CHARGES[0]
+
+
 # Pieces and counts
 
 
@@ -229,6 +344,52 @@ def test_pieces_and_counts(spark):
     assert sentencepieces.encode(df.limit(0), MODEL).count() == token_counts.token_counts(df.limit(0), MODEL).count() == 0
 
 
+def long_words():
+    rng = random.Random(30)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    return {"letters": draw("abcdefghijklmnopqrstuvwxyz", 100_000), "one": "a" * 100_000, "period": "abcdefg" * 14_000, "hex": draw("0123456789abcdef", 30_000), "cjk": draw("日本語中文字的是不", 30_000), "bare": draw("ab\x01\x02😀", 20_000), "two": "ab" * 20_000 + draw("xyz", 5000)}
+
+
+def test_long_words_go_the_same_way():
+    import sentencepiece
+    from sluice.llm import piece_model
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_model.load(open(MODEL, "rb").read())
+    matcher, texts = sentencepieces.Matcher(model), long_words()
+    for name, found in zip(texts, sentencepieces.encode_texts(list(texts.values()), matcher)):
+        want = library.encode(texts[name])
+        assert found.tolist() == want, name
+        assert int(token_counts.count_pretokens(model.pretokens(texts[name]), model).sum()) == len(want)
+
+
+def test_windows_that_share_no_token_are_made_longer():
+    from sluice.llm import piece_model
+
+    asked = []
+
+    def threes(words):  # tokens of three letters from the beginning, so windows agree only where they begin alike
+        asked.append(max(map(len, words)))
+        rows = [(n, len(w[k : k + 3]), k) for n, w in enumerate(words) for k in range(0, len(w), 3)]
+        return tuple(np.array(x, np.int64) for x in zip(*rows))
+
+    words = ["x" * 100, "y" * 5, "z" * 41, "w" * 16]
+    got = [x.tolist() for x in piece_model.in_windows(words, threes, size=16, overlap=6)]
+    assert got == [x.tolist() for x in threes(words)] and max(asked[:-1]) > 16
+
+
+def test_borders_are_those_of_the_merges():
+    from sluice.llm import piece_model
+
+    model = piece_model.load(open(MODEL, "rb").read())
+    rng = np.random.default_rng(6)
+    ids = np.array(sorted(model.pieces))
+    left, right = np.append(rng.choice(ids, 3000), model.pair_keys[::20] // model.size), np.append(rng.choice(ids, 3000), model.pair_keys[::20] % model.size)
+    of, token, _ = model.merge([model.pieces[a] + model.pieces[b] for a, b in zip(left.tolist(), right.tolist())])
+    many = np.bincount(of)
+    first = np.cumsum(many) - many
+    assert model.borders(left, right).tolist() == [n == 2 and token[s] == a and token[s + 1] == b for n, s, a, b in zip(many, first, left, right)]
+
+
 # Repeats
 
 
@@ -309,15 +470,52 @@ def test_cover_takes_every_pair_of_residues_along():
             assert {(a + d) % suffix_dedup.PERIOD, (b + d) % suffix_dedup.PERIOD} <= cover
 
 
-def test_windows_of_one_hash_are_told_apart(monkeypatch):
+@pytest.mark.parametrize("letters", [1, 2, 4, 26])
+def test_suffixes_come_in_order(letters):
+    rng = np.random.default_rng(letters)
+    for n in (0, 1, 17, 400, 3000):
+        data = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        data[n // 2 : n // 2 + n // 4] = data[: n // 4]
+        data[n // 8 : n // 6] = 0
+        starts = np.arange(max(0, n - 16))
+        raw = data.tobytes()
+        found = [x for own in suffix_dedup.suffix_buckets(data, starts, 100) for x in own.tolist()]
+        assert found == sorted(starts.tolist(), key=lambda i: raw[i:])
+
+
+def test_repeated_windows_need_the_ranks(monkeypatch):
     rng = np.random.default_rng(1)
-    data = rng.integers(97, 100, 900).astype(np.uint8)
-    data[400:650] = data[50:300]
-    starts = np.arange(701)
-    want = [any(a != b and bytes(data[a : a + 200]) == bytes(data[b : b + 200]) for b in starts) for a in starts]
-    assert suffix_dedup.repeated_windows(data, starts, 200).tolist() == want
-    monkeypatch.setattr(suffix_dedup, "_hashes", lambda prefix, size: np.zeros(len(prefix) - size, np.uint64))
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[:3000] = np.tile(data[:500], 6)  # long ties at many distances
+    data[1700:1750] += 2
+    starts = np.arange(3801)
+    seen = [bytes(data[a : a + 200]) for a in starts]
+    want = [seen.count(w) > 1 for w in seen]
     assert suffix_dedup.repeated_windows(data, starts, 200).tolist() == want
+    monkeypatch.setattr(suffix_dedup, "cover_ranks", lambda words, n: np.zeros(n, np.int64))
+    assert suffix_dedup.repeated_windows(data, starts, 200).tolist() != want
+
+
+def test_nothing_is_removed_on_a_hash_alone(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = [prose(rng, 90) for _ in range(20)]
+    texts += texts[:3]
+    plain = plain_repeats_of(texts)
+    mixed = suffix_dedup._mix
+    monkeypatch.setattr(suffix_dedup, "_mix", lambda x: mixed(x) % np.uint64(3))  # nearly everything collides
+    data = [t.encode() for t in texts]
+    cut = suffix_dedup._cut(200, np.zeros(0, np.int64))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(data)], names=["ua", "ub", "text"])
+    settled = {}
+    for out in cut([batch]):
+        for r in out.to_pylist():
+            if r["kind"] == suffix_dedup._SETTLED:
+                settled.setdefault(r["ua"], []).append((r["first"], r["last"]))
+    for doc, spans in settled.items():
+        gone = plain[doc][1]
+        assert all(any(a <= first and last + 200 <= b for a, b in gone) for first, last in spans)
 
 
 # The pipeline
@@ -351,6 +549,20 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 
+def test_stages_take_odd_columns_and_empty_tables(spark):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    rows = [(i if i else None, rich(rng, 60) if i % 9 else None, "en", None if i % 2 else "s", 3, True, [1], i, "x") for i in range(30)] + [(5, "word " * 50_000, "en", "s", 1, None, None, 1, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, spans array<int>, body int, `odd name.x` string")
+    for given in (docs, docs.limit(0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, "").cache()
+            assert name == corpus_pipeline.STAGES[-1][0] or now.columns == docs.columns
+        assert now.count() > 15 or given is not docs
+
+
 def plain_shingles(text, n=5):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

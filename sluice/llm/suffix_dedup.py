@@ -17,7 +17,8 @@ a bucket receives pieces: runs of windows, standing for the bytes they cover.
     share of all pieces is dealt out by content instead, its pieces taken to share it.
 3.  Only the other pieces' bytes are fetched and dealt out by bucket. A bucket that holds very
     many is split by the bytes that all windows of a sub-bucket must share.
-4.  A task lays the pieces it received end to end, a block of text at a time. The suffixes at the
+4.  A task lays the pieces it received end to end, a block of text at a time, those that are equal
+    byte for byte once: they are known to repeat, and one stands for them. The suffixes at the
     sample positions of a difference cover are ranked first, by prefix doubling. Then one suffix
     bucket (a range of leading bytes) after another is sorted: by two leading words, and ties by
     the cover: any two suffixes reach sample positions together within ``PERIOD`` bytes, so
@@ -434,13 +435,28 @@ def _sort(length: int):
     def run(batches):
         for table in _whole_groups(batches, 0, lambda held: sum(b.column(6).nbytes for b in held) >= BLOCK):
             known = table.column(6).is_null().to_numpy()
-            open_, ua, ub, first, windows = (table.column(i).to_numpy() for i in range(1, 6))
+            key, open_, ua, ub, first, windows = (table.column(i).to_numpy() for i in range(6))
             if known.any():
                 yield _batch([ua[known], ub[known], first[known], (first + windows - 1)[known]], _SPAN)
-                open_, ua, ub, first = (x[~known] for x in (open_, ua, ub, first))
-            contexts = table.column(6).drop_null().to_pylist()
-            if not contexts:
+                key, open_, ua, ub, first, windows = (x[~known] for x in (key, open_, ua, ub, first, windows))
+            contexts = table.column(6).drop_null()
+            if not len(contexts):
                 continue
+            # pieces equal byte for byte are each other's repeats; the first of them is sorted for all
+            coded = contexts.cast(pa.large_binary()).combine_chunks().dictionary_encode()
+            of = coded.indices.to_numpy()
+            many_of = np.bincount(of)[of] > 1
+            known = many_of & open_
+            if known.any():
+                yield _batch([ua[known], ub[known], first[known], (first + windows - 1)[known]], _SPAN)
+            stands = np.zeros(len(of), bool)
+            stands[np.unique(of, return_index=True)[1]] = True
+            key, open_, ua, ub, first = (x[stands] for x in (key, open_ & ~many_of, ua, ub, first))
+            live = np.isin(key, key[open_])  # elsewhere nothing is left to find
+            if not live.any():
+                continue
+            open_, ua, ub, first = (x[live] for x in (open_, ua, ub, first))
+            contexts = coded.dictionary.filter(pa.array(live)).to_pylist()
             data = np.frombuffer(b"".join(contexts), np.uint8)
             size = np.array([len(x) for x in contexts])
             offsets = np.cumsum(size) - size

@@ -20,21 +20,21 @@ import json
 import os
 import re
 import zlib
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._shared import broadcast_if_small, tune
 
-#: Characters encoded in one call, about; pieces whose ids are kept; and the end-of-document id of the contract.
-PART, KEPT, END_ID = 1 << 16, 800_000, 2
+#: Characters encoded in one call, about; bytes of text looked at together; pieces whose ids are kept; and the end-of-document id of the contract.
+PART, TEXT, KEPT, END_ID = 1 << 16, 6 << 20, 800_000, 2
 #: Where byte-level BPE's pre-tokenizer always cuts: before a space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Any white space but a space or line break, and those two side by side: then the pattern has to look.
-_ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
+#: Texts that begin or end with white space, or hold some other than single spaces and line breaks: there the pattern has to look.
+_ODD = "^[ \n]|[ \n]$|[ \n][ \n]|[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]"
 _loaded: dict[int, Encoder] = {}
 
 
@@ -57,64 +57,92 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.cuts = cuts_at_spaces(definition)
-        if not self.cuts:
-            return
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         added = self.tokenizer.get_added_tokens_decoder()
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of text behind each id
         for token, i in vocabulary.items():
             self.widths[i] = len(token.encode()) if i in added else len(token)
-        self.first: dict[str, bytes] = {}  # ids of pieces that begin a text
-        self.known: dict[str, bytes] = {}  # ids of the others; a leading space is left out here
+        self._forget()
+
+    def _forget(self) -> None:
+        """No piece is known: ``ids`` holds those of known pieces end to end, ``sizes`` their numbers."""
+        self.known, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<i4"), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces end to end, as one text that is cut between any two, and share out its ids."""
-        ids = self._ids([" " + " ".join(pieces)])[0]
-        upto = np.cumsum(self.widths[ids])
-        ends = np.searchsorted(upto, np.cumsum([len(p.encode()) + 1 for p in pieces]), "right").tolist()
-        raw = ids.tobytes()
-        self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(pieces, [0, *ends], ends))
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """The text cut before spaces, which are left out, and (where it is plain) before line breaks, which are kept."""
-        if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _ODD):
-            return text.replace("\n", " \n").split(" ")
-        return _CUT.split(text)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids."""
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each text's)."""
+        found = [x for k in range(0, len(texts), 64) for x in self._ids(texts[k : k + 64])]
+        return np.concatenate([self.ids[:0], *found]), np.array([len(x) for x in found], np.int64)
+
+    def _together(self, pieces: pa.Array, space: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces put end to end, as texts that are cut between any two: ``space`` stands before each."""
+        words, upto = pieces.to_pylist(), np.cumsum(pc.binary_length(pieces).to_numpy() + len(space))
+        ids, sizes = [self.ids[:0]], [self.sizes[:0]]
+        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(upto // PART)) + 1) if words else ():
+            a, b = int(part[0]), int(part[-1]) + 1
+            ids += self._ids([space + space.join(words[a:b])])
+            ends = np.searchsorted(np.cumsum(self.widths[ids[-1]]), upto[a:b] - (upto[a - 1] if a else 0), "right")
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Encode pieces that follow a space, which they are given without, or that begin with a line break."""
+        line, loose = pc.starts_with(pieces, "\n"), pc.match_substring_regex(pieces, r"\s$|[^\x00-\x7F]$")
+        ends = pc.fill_null(loose, False).to_numpy(zero_copy_only=False)
+        ends[ends] = [x[-1].isspace() for x in pieces.filter(loose).to_pylist()]  # it ends a text and would join with what followed it
+        line = line.to_numpy(zero_copy_only=False)
+        for own, encode in (
+            (~line & ~ends, lambda x: self._together(x, " ")),
+            (line & ~ends, lambda x: self._together(x, "")),
+            (ends, lambda x: self._alone([w if w[0] == "\n" else f" {w}" for w in x.to_pylist()])),
+        ):
+            if own.any():
+                some = pieces.filter(pa.array(own))
+                ids, sizes = encode(some)
+                self.known = pa.concat_arrays([self.known, some])
+                self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids end to end, number of ids of each text) of an Arrow array of texts; null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.cuts:
-            return self._ids(texts)
-        known, first = self.known, self.first
-        if len(known) + len(first) > KEPT:
-            known.clear()
-            first.clear()
-        split = [self._pieces(t) for t in texts]
-        new = list(filterfalse(first.__contains__, {s[0] for s in split}))
-        for k in range(0, len(new), 64):
-            first.update(zip(new[k : k + 64], (x.tobytes() for x in self._ids(new[k : k + 64]))))
-        heads = [s[0] for s in split]
-        for s in split:
-            del s[0]
-        part, size, alone = [], 0, []
-        for piece in filterfalse(known.__contains__, set().union(*split)):
-            if piece[0] == "\n" or piece[-1].isspace():
-                alone.append(piece)  # it begins a line, or ends a text and would join with what followed it
-                continue
-            part.append(piece)
-            size += len(piece)
-            if size > PART:
-                self._learn(part)
-                part, size = [], 0
-        if part:
-            self._learn(part)
-        known.update((p, x.tobytes()) for p, x in zip(alone, self._ids([p if p[0] == "\n" else f" {p}" for p in alone])))
-        find = known.__getitem__
-        return [np.frombuffer(first[h] + b"".join(map(find, s)), "<i4") for h, s in zip(heads, split)]
+            return self._alone(texts.to_pylist())
+        plain = pc.invert(pc.match_substring_regex(texts, _ODD))
+        if pc.all(plain).as_py() is not False:
+            # every piece but a text's first follows a space; those that begin a line keep the break
+            return self._gather(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "))
+        split = [x.replace("\n", " \n").split(" ") if easy else _CUT.split(x) for x, easy in zip(texts.to_pylist(), plain.to_pylist())]
+        return self._gather(pa.array(split, pa.large_list(pa.large_string())))
+
+    def _gather(self, split: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given as lists of pieces, one at least each: those of the distinct pieces are put where they occur."""
+        at = split.offsets.to_numpy().astype(np.int64)
+        at = at - at[0]
+        coded = split.flatten().dictionary_encode()
+        which, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_string())
+        heads, of = np.unique(which[at[:-1]], return_inverse=True)
+        which[at[:-1]] = len(pieces) + of
+        used = np.bincount(which, minlength=len(pieces))[: len(pieces)] > 0
+        others = pieces.filter(pa.array(used))
+        if len(self.known) > KEPT:
+            self._forget()
+        self._learn(others.filter(pc.is_null(pc.index_in(others, self.known))))
+        place = np.zeros(len(pieces), np.int64)
+        place[used] = pc.index_in(others, self.known).to_numpy(zero_copy_only=False)
+        begun = np.cumsum(self.sizes) - self.sizes
+        first_ids, first_sizes = self._alone(pieces.take(pa.array(heads)).to_pylist())
+        if not len(self.sizes):  # no text has a second piece
+            begun, known_sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        else:
+            known_sizes = self.sizes
+        sizes = np.append(known_sizes[place], first_sizes)
+        starts = np.append(begun[place], len(self.ids) + np.cumsum(first_sizes) - first_sizes)
+        many = sizes[which]
+        upto = np.append(0, np.cumsum(many))
+        flat = np.concatenate([self.ids, first_ids])
+        return flat[np.repeat(starts[which] - upto[:-1], many) + np.arange(upto[-1])], np.diff(upto[at])
 
 
 def _encoder(definition: str) -> Encoder:
@@ -124,6 +152,29 @@ def _encoder(definition: str) -> Encoder:
     return _loaded[key]
 
 
+def _blocks(batches):
+    """Arrays (ids, texts) of about TEXT bytes of text from Arrow batches."""
+    held, size = [], 0
+
+    def block():
+        return tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(upto // TEXT)) + 1):
+            a, b = int(part[0]), int(part[-1])
+            own = int(upto[b] - (upto[a - 1] if a else 0))
+            if held and size + own > TEXT:
+                yield block()
+                held, size = [], 0
+            held.append(batch.slice(a, len(part)))
+            size += own
+    if held:
+        yield block()
+
+
 def encode_ids(docs: DataFrame, tokenizer_file: str, id_col: str, text: str, end_id: int | None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of ``docs``' rows in their order; start counts from each partition's beginning."""
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -131,17 +182,14 @@ def encode_ids(docs: DataFrame, tokenizer_file: str, id_col: str, text: str, end
 
     def run(batches):
         encoder, start = _encoder(definition), 0
-        tail = np.array([] if end_id is None else [end_id], np.int32)
-        for batch in batches:
-            texts, rows = [x or "" for x in batch.column(1).to_pylist()], []
-            for k in range(0, len(texts), 250):
-                rows += [np.concatenate([ids, tail]) for ids in encoder.encode(texts[k : k + 250])]
-            n = np.array([len(x) for x in rows], np.int64)
+        for ids_of, texts in _blocks(batches):
+            ids, n = encoder.encode(texts)
+            if end_id is not None:
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
             ends = np.cumsum(n)
-            offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
-            values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "start", "n_tokens", "ids"])
-            start += int(ends[-1]) if len(ends) else 0
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids_of, pa.array(start + ends - n), pa.array(n), lists], names=["doc_id", "start", "n_tokens", "ids"])
+            start += int(ends[-1])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids array<int>")

@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = "▁"
 PRETOKEN = re.compile(f"[\\n\\t]|{SPACE}+[^{SPACE}\\n\\t]*|[^{SPACE}\\n\\t]+")
@@ -38,7 +40,10 @@ class PieceModel:
         self.pieces = {i: sp.id_to_piece(i) for i in plain}
         self.ids = {p: i for i, p in self.pieces.items()}
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
-        self.raw = {i: p.encode() for i, p in self.pieces.items()} | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        raw = {i: p.replace(SPACE, " ").encode() for i, p in self.pieces.items()} | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        spelled = [raw.get(i, b"") for i in ids]
+        self._spelled, self._spelled_sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
+        self._spelled_at = np.cumsum(self._spelled_sizes) - self._spelled_sizes
         if any(SPACE in p.lstrip(SPACE) or "\n" in p or "\t" in p for p in self.ids):
             raise ValueError("a piece of this model crosses pre-tokens")
         scores = sorted({sp.get_score(i) for i in plain}, reverse=True)
@@ -164,10 +169,20 @@ class PieceModel:
             live, a, b, until_a, until_b = (x[rest] for x in (live, a, b, until_a, until_b))
         return good
 
-    def decode(self, ids) -> str:
-        """The text of ids: pieces and bytes joined, U+2581 read as a space, the leading one dropped."""
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of ids end to end, whose texts begin at ``at``: pieces and bytes joined, U+2581 read as a space, the leading one dropped."""
+        sizes = self._spelled_sizes[ids]
+        upto = np.append(0, np.cumsum(sizes))
+        raw = self._spelled[np.repeat(self._spelled_at[ids] - upto[:-1], sizes) + np.arange(int(upto[-1]))]
+        begun, ended = upto[at[:-1]], upto[at[1:]]
+        lead = (ended > begun) & (np.append(raw, 0)[begun] == 0x20)
+        offsets = np.append(begun, upto[at[-1]])
+        whole = pa.Array.from_buffers(pa.large_binary(), len(begun), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
+        try:
+            texts = whole.cast(pa.large_string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            texts = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
+        return pc.if_else(pa.array(lead), pc.utf8_slice_codeunits(texts, 1), texts).cast(pa.string())
 
 
 def in_windows(words: list[str], tokens, measure=len, size: int = WINDOW, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,23 +191,25 @@ def in_windows(words: list[str], tokens, measure=len, size: int = WINDOW, overla
     Windows are put together at a token that both of two neighbours hold. A word with neighbours that
     share none is cut again into windows twice as long. ``measure``: what starts count of a text.
     """
-    parts, word, base = [], [], []
-    for n, w in enumerate(words):
-        at = 0
-        for k in range(0, max(1, len(w) - overlap), size - overlap):
-            parts.append(w[k : k + size] if len(w) > size else w)
-            word.append(n)
-            base.append(at)
-            if len(w) <= size:
-                break
-            at += measure(w[k : k + size - overlap])
-    found, first, held = [], 0, 0
-    for n, part in enumerate(parts):
-        held += len(part)
-        if held >= BLOCK or n + 1 == len(parts):
-            of, token, start = tokens(parts[first : n + 1])
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    parts, word, base = words, np.arange(len(words)), np.zeros(len(words), np.int64)
+    if len(words) and lengths.max() > size:
+        parts, word, base = [], [], []
+        for n, w in enumerate(words):
+            at = 0
+            for k in range(0, max(1, len(w) - overlap) if len(w) > size else 1, size - overlap):
+                parts.append(w[k : k + size] if len(w) > size else w)
+                word.append(n)
+                base.append(at)
+                if len(w) > size:
+                    at += measure(w[k : k + size - overlap])
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    found = []
+    cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // BLOCK)) + 1
+    for first, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(parts)]):
+        if first < stop:
+            of, token, start = tokens(parts[first:stop])
             found.append(((of + first).astype(np.int32), token.astype(np.int32), start.astype(np.int32)))
-            first, held = n + 1, 0
     if not found:
         return (np.zeros(0, np.int64),) * 3
     part, token, at = (np.concatenate(x) for x in zip(*found))

@@ -27,16 +27,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm._shared import free_name, tune
-from sluice.llm.piece_model import PieceModel, in_windows, load
+from sluice.llm.piece_model import SPACE, PieceModel, in_windows, load
 
-#: Characters of text in a batch, about.
+#: Bytes of text in a batch, about.
 TEXT = 4 << 20
 _SEPARATOR = b"\xff"  # in no UTF-8 text, and above every byte of one
 _WORD = 8  # bytes compared at once
+#: Texts that hold spaces side by side, or U+2581 itself: there the model's pattern has to look.
+_ODD = f"^ |  |{SPACE}"
+
+
+def _utf8(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(all words' bytes end to end, bytes of each)."""
+    column = pa.array(words, pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(words) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, np.uint8), np.diff(offsets)
 
 
 class Matcher:
@@ -58,35 +69,33 @@ class Matcher:
 
         The suffix array is refined eight bytes at a time. Pieces that end in those bytes have the
         range of suffixes between their least and greatest continuation; longer ones go on with
-        the rank of what they share with the suffixes so far, if any shares it.
+        the suffixes that share what they begin with, if any does.
         """
         n = len(text)
         raw = text + _SEPARATOR * (self.depth + 1) * _WORD
         words = np.ndarray((n + self.depth * _WORD,), ">u8", raw, 0, (1,)).astype(np.uint64)
-        values, rank = np.unique(words, return_inverse=True)
-        level, open_, prefix = np.zeros(n, np.int64), np.arange(len(self.piece_ids)), np.zeros(len(self.piece_ids), np.int64)
+        order = np.argsort(words[:n])
+        values = words[order]
+        key, group, open_ = np.arange(n), np.zeros(0, np.int64), np.arange(len(self.piece_ids))
         out = []
         for k in range(self.depth):
-            key = level * len(values) + rank[k * _WORD : k * _WORD + n]
-            order = np.argsort(key)
-            key = key[order]
-            base = prefix * len(values)
             low, high = np.searchsorted(values, self.low[open_, k]), np.searchsorted(values, self.high[open_, k], "right")
-            ends = self.lengths[open_] <= (k + 1) * _WORD
-            first, stop = np.searchsorted(key, (base + low)[ends]), np.searchsorted(key, (base + high)[ends])
-            many, own = stop - first, open_[ends]
-            start = order[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-            own = np.repeat(own, many)
+            if k:  # ``values`` are the distinct words here, ``key`` the suffixes' beginning and word
+                low, high = (np.searchsorted(key, group * len(values) + x) for x in (low, high))
+            many, ends = high - low, self.lengths[open_] <= (k + 1) * _WORD
+            own = np.repeat(open_[ends], many[ends])
+            start = order[_ranges(low[ends], many[ends])]
             out.append((start, start + self.lengths[own], self.piece_ids[own]))
-            more = ~ends & (high > low)
-            open_, want = open_[more], (base + low)[more]
-            at = np.minimum(np.searchsorted(key, want), n - 1)
-            open_, at = open_[key[at] == want], at[key[at] == want]
-            if not len(open_):
+            more = ~ends & (many > 0)
+            if not more.any():
                 break
-            dense = np.cumsum(np.append(0, key[1:] != key[:-1]))
-            level = np.empty(n, np.int64)
-            level[order], prefix = dense, dense[at]
+            first, at, group = np.unique(low[more], return_index=True, return_inverse=True)
+            sizes = many[more][at]
+            shared = order[_ranges(first, sizes)]  # the suffixes that begin like a longer piece, by what they share
+            values, rank = np.unique(words[shared + (k + 1) * _WORD], return_inverse=True)
+            key = np.repeat(np.arange(len(first)), sizes) * len(values) + rank
+            by = np.argsort(key)
+            open_, order, key = open_[more], shared[by], key[by]
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -102,16 +111,19 @@ class Matcher:
 
         All words are relaxed together, position by position.
         """
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(x) for x in raw], np.int64)
-        base = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))  # a position more than bytes: where the separator stands
-        text = _SEPARATOR.join(raw)
+        raw, sizes = _utf8(words)
+        base = np.cumsum(sizes + 1) - (sizes + 1)  # a position more than bytes: where the separator stands
+        of = np.repeat(np.arange(len(words)), sizes + 1)
+        flat = np.full(len(of), _SEPARATOR[0], np.uint8)
+        flat[np.arange(len(raw)) + np.repeat(np.arange(len(words)), sizes)] = raw
+        text = flat.tobytes()
         start, end, token = self.edges(text)
-        bare = [(int(b) + p, n) for w, b in zip(words, base) if not self.letters.issuperset(w) for p, n in self._bare(w)]
+        strange = set().union(*words) - self.letters
+        bare = [(b + p, n) for w, b in zip(words, base.tolist()) if not strange.isdisjoint(w) for p, n in self._bare(w)] if strange else []
         if bare:  # characters without a piece are edges of their own, always taken
             at, n = np.array(bare, np.int64).T
             start, end, token = np.concatenate([start, at]), np.concatenate([end, at + n]), np.concatenate([token, -1 - n])
-        place = end - np.repeat(base, sizes + 1)[start]
+        place = end - base[of[start]]
         order = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")
         start, end, token, place = start[order], end[order], token[order], place[order]
         unseen = -100
@@ -124,30 +136,24 @@ class Matcher:
             ask = np.flatnonzero(~take & (last[s] != unseen))
             take[ask] = self.joins(last[s[ask]], t[ask])
             last[e[take]], back[e[take]] = t[take], s[take]
-        steps, at, own = [], base + sizes, np.arange(len(words))
-        while len(live := np.flatnonzero(at > base[own])):
-            at, own = at[live], own[live]
-            steps.append((own, last[at], back[at]))
+        begun, at = np.full(len(text) + 1, unseen), (base + sizes)[sizes > 0]
+        while len(at):
+            begun[back[at]] = last[at]
             at = back[at]
-        if not steps:
-            return (np.zeros(0, np.int64),) * 3
-        own, token, at = (np.concatenate(x) for x in zip(*steps))
-        order = np.argsort(at, kind="stable")
-        return own[order], token[order], (at - base[own])[order]
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each pre-token, as little-endian 32-bit integers."""
+            at = at[last[at] != -1]
+        at = np.flatnonzero(begun != unseen)
+        return of[at], begun[at], at - base[of[at]]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens end to end, number of each one's)."""
         own, token, at = in_windows(words, self.tokens, lambda x: len(x.encode()))
         if (token < 0).any():  # spelled out in bytes
-            raw = np.frombuffer(b"".join(w.encode() for w in words), np.uint8)
-            sizes = np.bincount(np.repeat(np.arange(len(words)), [len(w.encode()) for w in words]), minlength=len(words))
+            raw, sizes = _utf8(words)
             width = np.where(token < 0, -1 - token, 1)
-            place = np.repeat((np.cumsum(sizes) - sizes)[own] + at - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+            place = np.repeat((np.cumsum(sizes) - sizes)[own] + at, width) + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
             own, token = np.repeat(own, width), np.repeat(token, width)
-            token = np.where(token < 0, self.model.byte_ids[raw[np.minimum(place, len(raw) - 1)]], token)
-        ids = token.astype("<i4")
-        ends = np.cumsum(np.bincount(own, minlength=len(words))).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+            token = np.where(token < 0, self.model.byte_ids[raw[place]], token)
+        return token.astype("<i4"), np.bincount(own, minlength=len(words))
 
     def _bare(self, word: str):
         """(offset, bytes) of each character of a word that has no piece."""
@@ -169,25 +175,38 @@ def _matcher(content: bytes) -> Matcher:
     return _matchers[id(model)]
 
 
-def encode_texts(texts: list[str], matcher: Matcher) -> list[np.ndarray]:
-    """The ids of each text of a batch."""
-    split = [matcher.model.pretokens(x) for x in texts]
-    words = list(set().union(*split))
-    ids = dict(zip(words, matcher.encode(words))).__getitem__
-    return [np.frombuffer(b"".join(map(ids, own)), "<i4") for own in split]
+def _pretokens(texts: pa.Array, model: PieceModel) -> pa.Array:
+    """The pre-tokens of each text, empty ones among them."""
+    odd = pc.match_substring_regex(texts, _ODD)
+    if not pc.any(odd).as_py():
+        marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(SPACE, texts.type), pc.replace_substring(texts, " ", " " + SPACE), pa.scalar("", texts.type)))
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(marked, "\n", " \n "), "\t", " \t "), " ")
+    return pa.array([model.pretokens(x) for x in texts.to_pylist()], pa.large_list(texts.type))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of the ranges, one range after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def encode_texts(texts: pa.Array, matcher: Matcher) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts of a batch end to end, where each text's begin, and the end)."""
+    split = _pretokens(texts, matcher.model)
+    coded = split.flatten().dictionary_encode()
+    which, at = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    ids, sizes = matcher.encode(coded.dictionary.to_pylist())
+    many = sizes[which]
+    upto = np.append(0, np.cumsum(many))
+    return ids[_ranges((np.cumsum(sizes) - sizes)[which], many)], upto[at - at[0]]
 
 
-def _batches(texts: list[str]):
-    """Consecutive ranges of texts, each of about TEXT characters; a longer text stands alone."""
-    first = size = 0
-    for n, x in enumerate(texts):
-        if n > first and size + len(x) > TEXT:
-            yield first, n
-            first = n
-            size = 0
-        size += len(x)
-    if texts:
-        yield first, len(texts)
+def _batches(texts: pa.Array):
+    """Consecutive parts of texts, each of about TEXT bytes; a longer text stands alone."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy())
+    cuts = np.flatnonzero(np.diff(upto // TEXT)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        if a < b:
+            yield a, texts.slice(a, b - a)
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
@@ -203,12 +222,11 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     def run(batches):
         matcher = _matcher(content)
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(held)).to_pylist()]
-            for a, b in _batches(texts):
-                ids = encode_texts(texts[a:b], matcher)
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-                columns = [batch.column(i).slice(a, b - a) for i in range(len(held))]
-                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array([matcher.model.decode(x.tolist()) for x in ids], pa.string())], names=[*held, "ids", "decoded"])
+            texts = batch.column(len(held)).cast(pa.large_string()).fill_null("")
+            for a, part in _batches(texts):
+                ids, at = encode_texts(part, matcher)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                columns = [batch.column(i).slice(a, len(part)) for i in range(len(held))]
+                yield pa.RecordBatch.from_arrays([*columns, lists, matcher.model.decode(ids, at)], names=[*held, "ids", "decoded"])
 
     return rows.mapInArrow(run, schema)

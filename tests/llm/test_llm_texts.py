@@ -356,12 +356,28 @@ def test_long_words_go_the_same_way():
 
     library, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_model.load(open(MODEL, "rb").read())
     matcher, texts = sentencepieces.Matcher(model), long_words()
-    for name, found in zip(texts, sentencepieces.encode_texts(list(texts.values()), matcher)):
+    import pyarrow as pa
+
+    ids, at = sentencepieces.encode_texts(pa.array(list(texts.values()), pa.large_string()), matcher)
+    for name, a, b in zip(texts, at, at[1:]):
         want = library.encode(texts[name])
-        assert found.tolist() == want, name
+        assert ids[a:b].tolist() == want, name
         assert int(token_counts.count_pretokens(model.pretokens(texts[name]), model).sum()) == len(want)
 
 
+def test_texts_on_their_own_are_encoded_as_among_others():
+    import pyarrow as pa
+    import sentencepiece
+    from sluice.llm import piece_model
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_model.load(open(MODEL, "rb").read())
+    matcher = sentencepieces.Matcher(model)
+    for text in ["", " ", "\n", "\t\t a\n\n b", "a  b", "x\x01y", " lead", "tail ", "\n\n", "▁", "a", "😀", "  two", "é\tß"]:
+        ids, at = sentencepieces.encode_texts(pa.array([text], pa.large_string()), matcher)
+        assert ids.tolist() == library.encode(text) and at.tolist() == [0, len(ids)]
+        assert model.decode(ids, at).to_pylist() == [library.decode(ids.tolist())]
+
+
 def test_windows_that_share_no_token_are_made_longer():
     from sluice.llm import piece_model
 

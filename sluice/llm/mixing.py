@@ -11,8 +11,11 @@ Definitions: a document's size is its number of words (null text: 0). Sources ra
 point, null last. A source whose share would exceed ``max_repeats`` times its size stops
 there and the excess is shared again by weight. The document at the threshold is taken if
 that brings the source nearer to its target. Documents hash by their id, so reruns agree;
-rows that repeat an id are taken or left together. Documents without words take nothing. An
-empty table gives an empty result.
+rows that repeat an id are taken or left together. Documents without words take nothing. Whole
+texts are counted, however long. An empty table gives an empty result.
+
+Sources may be as many as hosts: they are ranked by a distributed sort, the level at which shares
+settle is found from sums over all of them, and sources that hold many documents are joined apart.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import BROADCAST_ROWS, WORD, free_name, save
+from sluice.llm._shared import WORD, broadcast_if_small, free_name, join_on, save
 
 #: The hash has 60 bits, refined 12 bits at a time.
 BITS, STEP = 60, 12
@@ -37,49 +40,70 @@ def unit_hash(column) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
 
 
+def source_key(column) -> F.Column:
+    """A source as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
+def _ranked(sizes: DataFrame, weights) -> DataFrame:
+    """``sizes`` with each source's weight, by its place in the order of sources.
+
+    A distributed sort is written with a number that holds the partition and the place in it; the
+    partitions' row counts, a row each, turn that into a place among all.
+    """
+    turned = save(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("turn", F.monotonically_increasing_id()), "mix-order")
+    counts = turned.groupBy(F.shiftright("turn", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a partition
+    starts, upto = [], 0
+    for r in counts:
+        starts.append((r["part"], upto))
+        upto += r["n"]
+    offsets = sizes.sparkSession.createDataFrame(starts, "part long, start long")
+    placed = turned.join(broadcast_if_small(offsets), F.shiftright("turn", 33) == F.col("part"))
+    place = F.col("start") + F.col("turn").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    return placed.select("source", "key", "source_size", weight.alias("weight"))
+
+
 def targets(sizes: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """(source, source_size, target) from a saved (source, source_size), one row a source.
+    """(source, key, source_size, target) from a saved (source, key, source_size), one row a source.
 
-    Sharing until no source is above its cap fills caps in the order of cap by weight; one
-    pass over the sources in that order finds the level at which the rest settle.
+    What a source's weight asks for at a level is its weight times the level. Sources that reach their
+    cap at the level of equal shares stop there; what they leave raises the level, until no other
+    reaches its cap. Each round is one sum over all sources.
     """
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    named = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeats)
-    order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = named.withColumn("level", (F.sum("source_size").over(every) - before) / rest)
-    full = F.col("cap") <= F.col("level") * F.col("weight")
-    settled = F.first(F.when(~full, F.col("level")), ignorenulls=True).over(every)
-    target = F.when(full, F.col("cap").cast("double")).otherwise(settled * F.col("weight"))
-    return level.select("source", "source_size", target.alias("target"))
-
-
-def thresholds(rows: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> tuple[DataFrame, bool]:
-    """Per source: source_size, target, whole (complete passes), cut and at_cut.
+    named = save(_ranked(sizes, weights).withColumn("cap", F.col("source_size") * max_repeats), "mix-ranked")
+    level, full = None, -1
+    while True:
+        open_ = F.lit(True) if level is None else F.col("cap") > level * F.col("weight")
+        row = named.agg(F.sum("source_size").alias("total"), F.sum(F.when(~open_, F.col("cap"))).alias("capped"), F.sum(F.when(open_, F.col("weight"))).alias("rest"), F.count(F.when(~open_, 1)).alias("full")).first()
+        if not row["rest"] or row["full"] == full:
+            break
+        level, full = float(row["total"] - (row["capped"] or 0)) / row["rest"], row["full"]
+    level = F.lit(level or 0.0)
+    target = F.when(F.col("cap") <= level * F.col("weight"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))
+    return named.select("source", "key", "source_size", target.alias("target"))
+
+
+def thresholds(rows: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """Per source, a saved (source, key, source_size, target, documents, whole, cut, at_cut); whole: complete passes.
 
     Documents whose hash is below ``cut`` are taken once more, and those at it if ``at_cut``.
-    ``rows`` is a saved (source, size, hash). The flag says if a count has shown the sources to
-    be few enough to broadcast.
+    ``rows`` is a saved (source, key, size, hash).
     """
-    sizes = save(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    small = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
-    goal = save(targets(sizes, weights, max_repeats), "mix-targets")
+    sizes = save(rows.groupBy("key").agg(F.any_value("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("documents")), "mix-sources")
+    counts = sizes.select("key", F.col("documents").alias("n"))
+    goal = save(targets(sizes.select("source", "key", "source_size"), weights, max_repeats), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    state = goal.select("source", whole.alias("whole"), F.lit(0).cast("long").alias("prefix"), (F.col("target") - whole * F.col("source_size")).alias("left"))
+    state = goal.select("key", whole.alias("whole"), F.lit(0).cast("long").alias("prefix"), (F.col("target") - whole * F.col("source_size")).alias("left"))
     for down in range(BITS - STEP, -1, -STEP):
-        s = state.select(F.col("source").alias("of"), "prefix", "left", "whole")
-        inside = rows.join(hint(s), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("hash", down + STEP) == F.col("prefix")))
-        sums = inside.groupBy("source", F.shiftright("hash", down).alias("bucket")).agg(F.sum("size").alias("n"), F.first("left").alias("left"), F.first("whole").alias("whole"))
-        upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
+        inside = join_on(rows, save(state.select("key", "prefix", "left", "whole"), "mix-state"), "key", counts).where(F.shiftright("hash", down + STEP) == F.col("prefix"))
+        sums = inside.groupBy("key", F.shiftright("hash", down).alias("bucket")).agg(F.sum("size").alias("n"), F.first("left").alias("left"), F.first("whole").alias("whole"))
+        upto = F.sum("n").over(Window.partitionBy("key").orderBy("bucket"))  # 4096 buckets a source at most
         crossed = sums.withColumn("upto", upto).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
-        state = crossed.select("source", "whole", F.col("bucket").alias("prefix"), (F.col("left") - (F.col("upto") - F.col("n"))).alias("left"), "n")
-    cut = state.select(F.col("source").alias("of"), F.col("whole"), F.col("prefix").alias("cut"), (F.col("left") * 2 >= F.col("n")).alias("at_cut"))
-    out = goal.join(hint(cut), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", F.coalesce("whole", F.lit(0)).alias("whole"), "cut", "at_cut")
-    return save(out, "mix-cuts"), small
+        state = crossed.select("key", "whole", F.col("bucket").alias("prefix"), (F.col("left") - (F.col("upto") - F.col("n"))).alias("left"), "n")
+    cut = save(state.select("key", "whole", F.col("prefix").alias("cut"), (F.col("left") * 2 >= F.col("n")).alias("at_cut")), "mix-state")
+    out = goal.join(sizes.select("key", "documents"), "key").join(broadcast_if_small(cut), "key", "left")
+    return save(out.select("source", "key", "source_size", "target", "documents", F.coalesce("whole", F.lit(0)).alias("whole"), "cut", "at_cut"), "mix-cuts")
 
 
 def taken(size, hashed) -> F.Column:
@@ -88,26 +112,28 @@ def taken(size, hashed) -> F.Column:
     return size * (F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long"))
 
 
+def _sizes(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
+    """A saved (id, source, key, size, hash) of each document."""
+    own = F.col(f"`{source}`")
+    return save(docs.select(F.col(f"`{id_col}`").alias("id"), own.alias("source"), source_key(own).alias("key"), words(F.col(f"`{text}`")).alias("size"), unit_hash(F.col(f"`{id_col}`")).alias("hash")), "mix-sizes")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """(id, source, size, source_size, target, taken) for every document."""
-    rows = save(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"), unit_hash(F.col(f"`{id_col}`")).alias("hash")), "mix-sizes")
-    cuts, small = thresholds(rows.select("source", "size", "hash"), weights, max_repeats)
-    cuts = cuts.withColumnRenamed("source", "of")
-    joined = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("of")), "left")
+    rows = _sizes(docs, id_col, text, source)
+    cuts = thresholds(rows, weights, max_repeats)
+    joined = join_on(rows, cuts.drop("source", "documents"), "key", cuts.select("key", F.col("documents").alias("n")))
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", taken(F.col("size"), F.col("hash")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """The documents of the mix, all columns kept: each as many times as it is taken."""
-    hashed, of = free_name(docs, "mix_hash"), free_name(docs, "mix_source")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = save(docs.select(F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"), unit_hash(F.col(f"`{id_col}`")).alias("hash")), "mix-sizes")
-    cuts, small = thresholds(rows, weights, max_repeats)
-    whole, cut, at_cut = (free_name(docs, x) for x in ("mix_whole", "mix_cut", "mix_at_cut"))
-    cuts = cuts.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("cut").alias(cut), F.col("at_cut").alias(at_cut))
-    full = docs.withColumn(hashed, unit_hash(F.col(f"`{id_col}`")))
+    cuts = thresholds(_sizes(docs, id_col, text, source), weights, max_repeats)
+    key, hashed, whole, cut, at_cut, copies = (free_name(docs, f"mix_{x}") for x in ("key", "hash", "whole", "cut", "at_cut", "copy"))
+    full = docs.withColumns({hashed: unit_hash(F.col(f"`{id_col}`")), key: source_key(F.col(f"`{source}`"))})
+    own = cuts.select(F.col("key").alias(key), F.col("whole").alias(whole), F.col("cut").alias(cut), F.col("at_cut").alias(at_cut))
+    joined = join_on(full, own, key, cuts.select(F.col("key").alias(key), F.col("documents").alias("n")))
     times = F.col(whole) + F.coalesce((F.col(hashed) < F.col(cut)) | ((F.col(hashed) == F.col(cut)) & F.col(at_cut)), F.lit(False)).cast("long")
-    joined = full.join(F.broadcast(cuts) if small else cuts, F.col(f"`{source}`").eqNullSafe(F.col(of)))
-    copies = free_name(docs, "mix_copy")
     picked = joined.withColumn(copies, times).where((F.col(copies) > 0) & (words(F.col(f"`{text}`")) > 0))
     return picked.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*cols)

@@ -12,7 +12,8 @@ Definitions: host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or
 lower-cased; path what follows up to ``?``, ``#`` or the end; null or no ``://``: both empty.
 The suffix is the host's last label, the registered domain its last two. Hosts without
 labelled pages take their domain's mean. Outcomes with null are ignored; repeated rows each
-count. An empty table gives an empty result.
+count. Rules of equal length: the one later in the order of host and path decides. An empty table
+gives an empty result. Hosts, domains and suffixes that hold many rows are joined apart from the others.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import broadcast_if_small, save
+from sluice.llm._shared import join_on, save
 
 #: (verdict, host, path) of the default rules (fixed values).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -65,9 +66,9 @@ def reputation(hosts: DataFrame) -> DataFrame:
     suffixes = save(domains.groupBy("suffix").agg(*sums), "url-suffixes")
     of_suffix, of_domain, of_host = (_strength(x, base) for x in (suffixes, domains, hosts))
     top = suffixes.select("suffix", ((F.col("bad") + of_suffix * base) / (F.col("n") + of_suffix)).alias("above"))
-    middle = domains.join(broadcast_if_small(top), "suffix").select("domain", ((F.col("bad") + of_domain * F.col("above")) / (F.col("n") + of_domain)).alias("above"))
+    middle = join_on(domains, save(top, "url-above"), "suffix").select("domain", ((F.col("bad") + of_domain * F.col("above")) / (F.col("n") + of_domain)).alias("above"))
     a, b = F.col("bad") + of_host * F.col("above"), F.col("n") - F.col("bad") + of_host * (1 - F.col("above"))
-    posterior = named.join(broadcast_if_small(save(middle, "url-means")), "domain").select("host", a.alias("a"), b.alias("b"))
+    posterior = join_on(named, save(middle, "url-means"), "domain").select("host", a.alias("a"), b.alias("b"))
     a, b = F.col("a"), F.col("b")
     return posterior.select("host", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("deviation"))
 
@@ -81,11 +82,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: s
     parsed = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
     marks = outcomes.toDF("of", "bad").where("of is not null and bad is not null").groupBy("of").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     counted = parsed.select("id", "host").join(marks, F.col("id") == F.col("of"), "left")
-    hosts = save(counted.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")), "url-hosts")
+    hosts = save(counted.groupBy("host").agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")), "url-hosts")
     known = save(reputation(hosts), "url-reputation")
     name, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("mean") - z * F.col("deviation") > threshold, "block").otherwise("allow")
-    return parsed.join(broadcast_if_small(known), "host", "left").select(F.col("id").alias(id_col), "host", "path", name.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), F.round("mean", 6).alias("bad_share"))
+    joined = join_on(parsed, known, "host", hosts.select("host", F.col("pages").alias("n")), "left")
+    return joined.select(F.col("id").alias(id_col), "host", "path", name.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"), F.round("mean", 6).alias("bad_share"))
 
 
 #: The same in DuckDB SQL over ``pages`` and ``labels``, with the default parameters.

@@ -144,6 +144,21 @@ def test_mix(spark):
     assert again == {(r.doc_id, r.source, r.size): r.taken for r in found}
 
 
+def test_mix_of_many_sources_without_broadcasts(spark, monkeypatch):
+    from sluice.llm import _shared
+
+    monkeypatch.setattr(_shared.is_small, "__defaults__", (3, _shared.BROADCAST_BYTES))
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(0, 40)), "hot" if i % 3 == 0 else f"s{rng.integers(0, 60):02}") for i in range(500)] + [(500, "a b c", None)]
+    found = mixing.mix(spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], DOCS).repartition(4)).collect()
+    n, goal = plain_mix(rows)
+    taken = dict.fromkeys(n, 0)
+    for r in found:
+        assert r.source_size == n[r.source] and abs(r.target - goal[r.source]) < 1e-6
+        taken[r.source] += r.taken
+    assert len(found) == len(rows) and all(abs(taken[s] - goal[s]) <= 20 + 1e-6 for s in n)
+
+
 def test_applied_mix_repeats_rows(spark):
     rows = mixed_rows()
     df = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], DOCS)
@@ -183,6 +198,16 @@ def test_reputation_blocks_bad_hosts_only(spark):
     assert len(found) == 800 and {r.verdict for r in found if r.host.startswith("bad")} == {"block"} and {r.verdict for r in found if r.host.startswith("h")} == {"allow"}
 
 
+def test_hosts_are_joined_without_broadcasts(spark, monkeypatch):
+    from sluice.llm import _shared
+
+    rows = [(i, f"http://{'big' if i % 3 == 0 else f'h{i % 40}'}.site{i % 7}.{'com' if i % 2 else 'org'}/p") for i in range(400)]
+    pages, outcomes = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 400, 2)], "page_id long, bad int")
+    want = sorted(map(tuple, url_filter.judge(pages, outcomes).collect()))
+    monkeypatch.setattr(_shared.is_small, "__defaults__", (2, _shared.BROADCAST_BYTES))
+    assert sorted(map(tuple, url_filter.judge(pages, outcomes).collect())) == want
+
+
 # Token files
 
 

@@ -9,7 +9,9 @@ by their statistics and Bloom filters.
 
 Texts are encoded by the tokenizers library in pieces, cut where byte-level BPE's pre-tokenizer
 always cuts, so the ids are those of the whole text; the ids of a piece that comes again are
-taken from a bounded table. Definitions with another pre-tokenizer, or with a normalizer, are not
+taken from a bounded table. Words of Latin letters, with or without marks after them, hold pre-tokens
+that are known without a look (the letters, and the marks), so these go straight to the library's
+model. Definitions with another pre-tokenizer, or with a normalizer, are not
 cut: then whole texts are encoded. Null and empty texts hold the end id alone. An empty table
 gives files without rows.
 """
@@ -30,14 +32,27 @@ from pyspark.sql import functions as F
 from sluice.llm._shared import broadcast_if_small, tune
 
 #: Characters encoded in one call, about; bytes of text looked at together; pieces whose ids are kept; and the end-of-document id of the contract.
-PART, TEXT, KEPT, END_ID = 1 << 16, 6 << 20, 800_000, 2
+PART, TEXT, KEPT, END_ID = 1 << 16, 8 << 20, 700_000, 2
 #: Where byte-level BPE's pre-tokenizer always cuts: before a space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Texts that begin or end with white space, or hold some other than single spaces and line breaks: there the pattern has to look.
 _ODD = "^[ \n]|[ \n]$|[ \n][ \n]|[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]"
+#: Marks that the pre-tokenizer keeps together after letters: all of ASCII but the apostrophe, which may begin a contraction.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+#: Words of Latin letters (a line break may come first), then marks.
+_LATIN = "^\n?[A-Za-zÀ-ÖØ-öø-ɏ]+[" + re.escape(_MARKS) + "]*$"
 _loaded: dict[int, Encoder] = {}
 
 
+def byte_symbols() -> list[str]:
+    """Byte-level BPE's character for each byte: the byte's own where that is printable, else the next one from U+0100 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+
+
 def cuts_at_spaces(definition: str) -> bool:
     """Whether a tokenizer's definition is byte-level BPE that cuts before spaces, so that pieces between them are encoded on their own."""
     known = json.loads(definition)
@@ -62,11 +77,17 @@ class Encoder:
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of text behind each id
         for token, i in vocabulary.items():
             self.widths[i] = len(token.encode()) if i in added else len(token)
+        #: Whether words may go to the model as they are: the library's alphabet is the known one, and no added token can stand in a word.
+        self.direct = self.cuts and not any(re.search(r"[A-Za-zÀ-ɏ]", t.content) and re.fullmatch(_LATIN, t.content) or set(t.content) <= set(_MARKS) for t in added.values())
+        self.symbols = byte_symbols()
+        spelled = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("\n É~")) if self.direct else ""
+        self.direct = self.direct and spelled == "".join(self.symbols[b] for b in "\n É~".encode())
         self._forget()
 
     def _forget(self) -> None:
-        """No piece is known: ``ids`` holds those of known pieces end to end, ``sizes`` their numbers."""
-        self.known, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        """No piece is known: ``ids`` holds those of known pieces, at ``begun`` and ``sizes`` many of each."""
+        self.known, self.ids = pa.array([], pa.large_string()), np.zeros(0, "<i4")
+        self.begun, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,22 +108,51 @@ class Encoder:
             sizes.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that match _LATIN."""
+        model, table = self.tokenizer.model, dict(enumerate(self.symbols))
+        model._resize_cache(0)  # hardly a word comes twice
+        tokenize, space, line = model.tokenize, self.symbols[0x20], [t.id for t in model.tokenize(self.symbols[0x0A])]
+        marks: dict[str, list[int]] = {"": []}
+        ids, sizes = [], []
+        for w in words:
+            first = w[0] == "\n"
+            stem = w.rstrip(_MARKS)
+            tail = w[len(stem) :]
+            if first:
+                stem = stem[1:]
+            if not stem.isascii():
+                stem = stem.encode().decode("latin-1").translate(table)
+            found = [t.id for t in tokenize(stem if first else space + stem)]
+            if tail not in marks:
+                marks[tail] = [t.id for t in tokenize(tail)]
+            if first:
+                found = line + found
+            found += marks[tail]
+            sizes.append(len(found))
+            ids += found
+        return np.array(ids, "<i4"), np.array(sizes, np.int64)
+
     def _learn(self, pieces: pa.Array) -> None:
         """Encode pieces that follow a space, which they are given without, or that begin with a line break."""
         line, loose = pc.starts_with(pieces, "\n"), pc.match_substring_regex(pieces, r"\s$|[^\x00-\x7F]$")
-        ends = pc.fill_null(loose, False).to_numpy(zero_copy_only=False)
+        ends = loose.to_numpy(zero_copy_only=False)
         ends[ends] = [x[-1].isspace() for x in pieces.filter(loose).to_pylist()]  # it ends a text and would join with what followed it
         line = line.to_numpy(zero_copy_only=False)
+        word = pc.match_substring_regex(pieces, _LATIN).to_numpy(zero_copy_only=False) if self.direct else np.zeros(len(pieces), bool)
+        flat, begun, sizes, n = [self.ids], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), len(self.ids)
         for own, encode in (
-            (~line & ~ends, lambda x: self._together(x, " ")),
-            (line & ~ends, lambda x: self._together(x, "")),
-            (ends, lambda x: self._alone([w if w[0] == "\n" else f" {w}" for w in x.to_pylist()])),
+            (word, lambda x: self._words(x.to_pylist())),
+            (~word & ~line & ~ends, lambda x: self._together(x, " ")),
+            (~word & line & ~ends, lambda x: self._together(x, "")),
+            (~word & ends, lambda x: self._alone([w if w[0] == "\n" else f" {w}" for w in x.to_pylist()])),
         ):
-            if own.any():
-                some = pieces.filter(pa.array(own))
-                ids, sizes = encode(some)
-                self.known = pa.concat_arrays([self.known, some])
-                self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            ids, many = encode(pieces.filter(pa.array(own)))
+            begun[own], sizes[own] = n + np.cumsum(many) - many, many
+            flat.append(ids)
+            n += len(ids)
+        self.known, self.ids = pa.concat_arrays([self.known, pieces]), np.concatenate(flat)
+        self.begun, self.sizes = np.append(self.begun, begun), np.append(self.sizes, sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids end to end, number of ids of each text) of an Arrow array of texts; null is empty."""
@@ -128,21 +178,18 @@ class Encoder:
         others = pieces.filter(pa.array(used))
         if len(self.known) > KEPT:
             self._forget()
-        self._learn(others.filter(pc.is_null(pc.index_in(others, self.known))))
-        place = np.zeros(len(pieces), np.int64)
-        place[used] = pc.index_in(others, self.known).to_numpy(zero_copy_only=False)
-        begun = np.cumsum(self.sizes) - self.sizes
+        place = pc.fill_null(pc.index_in(others, self.known), -1).to_numpy().astype(np.int64)
+        new = place < 0
+        place[new] = len(self.known) + np.arange(int(new.sum()))
+        self._learn(others.filter(pa.array(new)))
+        begun, sizes = (np.zeros(len(pieces), np.int64) for _ in range(2))
+        begun[used], sizes[used] = self.begun[place], self.sizes[place]
         first_ids, first_sizes = self._alone(pieces.take(pa.array(heads)).to_pylist())
-        if not len(self.sizes):  # no text has a second piece
-            begun, known_sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        else:
-            known_sizes = self.sizes
-        sizes = np.append(known_sizes[place], first_sizes)
-        starts = np.append(begun[place], len(self.ids) + np.cumsum(first_sizes) - first_sizes)
+        sizes = np.append(sizes, first_sizes)
+        begun = np.append(begun, len(self.ids) + np.cumsum(first_sizes) - first_sizes)
         many = sizes[which]
         upto = np.append(0, np.cumsum(many))
-        flat = np.concatenate([self.ids, first_ids])
-        return flat[np.repeat(starts[which] - upto[:-1], many) + np.arange(upto[-1])], np.diff(upto[at])
+        return np.concatenate([self.ids, first_ids])[np.repeat(begun[which] - upto[:-1], many) + np.arange(upto[-1])], np.diff(upto[at])
 
 
 def _encoder(definition: str) -> Encoder:

@@ -288,6 +288,21 @@ def test_other_definitions_are_encoded_whole():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [Tokenizer.from_file(file).encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_that_go_straight_to_the_model_have_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = token_files.Encoder(open(file, encoding="utf-8").read()), Tokenizer.from_file(file)
+    rng = np.random.default_rng(7)
+    letters = ["a", "B", "é", "Ç", "ß", "ž", "Ə", "ɏ", "*", ".", "#", "_", ",", "'", "-", "\n", " ", "×", "1", "ñ", "the", "tion"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(400)] + ["it's a<|endoftext|>b <|endoftext|>, x", "word,.*** next's", "a\nB,c"]
+    texts = [" ".join(t.split(" ")).strip() for t in texts] + texts
+    assert encoder.direct
+    for some in (texts, [t for t in texts if t and not token_files.re.search(token_files._ODD, t)]):
+        ids, n = encoder.encode(pa.array(some))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     path = str(tmp_path / "ids")
     token_files.write_ids(spark.createDataFrame([], "doc_id long, text string"), path, public_tokenizers.path("byte_bpe_50k.json"))

@@ -7,8 +7,9 @@ rejected if its whole ratio lies outside its band, or if chunks outside theirs h
 ``bad_share`` of its bytes.
 
 Words are runs of anything but ASCII white space. Null and empty texts have no words and fail
-the base rules. Repeated rows are judged alike. An empty table gives an empty result. Columns
-named like the new ones are replaced.
+the base rules. Very long texts are judged whole, all their chunks counted. A ratio of exactly a
+limit is inside its band. Repeated rows are judged alike. An empty table gives an empty result.
+Columns named like the new ones are replaced.
 """
 
 from __future__ import annotations

@@ -629,6 +629,56 @@ def test_pipeline_keeps_one_of_near_copies(spark):
     assert corpus_pipeline.near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_crowded_bands_are_spread_without_losing_links(spark):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(2):  # groups whose members lie nearer to and farther from each other, and share bands
+        centre = rich(rng, 90)
+        texts += [changed(rng, centre, n) for n in (1, 1, 2, 2, 3, 3, 4, 5, 6) for _ in range(4)]
+    chain = [rich(rng, 120)]
+    for _ in range(25):
+        chain.append(changed(rng, chain[-1], 2))
+    texts += chain + [None, "", "one", "one", texts[0]]
+    sets = [plain_shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                x, y = want[i], want[j]
+                want = [y if r == x else r for r in want]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for crowd, rounds in ((6, 0), (6, 2)):
+        found = {r.id: r.root for r in minhash.groups(df, crowd=crowd, rounds=rounds).collect()}
+        pairs = {(want[i], found[i]) for i in range(len(texts))}
+        assert len(found) == len(texts) and len(pairs) == len(set(want)) == len(set(found.values())), (crowd, rounds)
+
+
+def test_spread_groups_are_bounded_and_connect_what_is_linked(spark):
+    rng = np.random.default_rng(9)
+    centre = [rng.choice(10_000, 60, replace=False) for _ in range(3)]
+    sets = [np.unique(np.concatenate([rng.choice(c, 60 - k, replace=False), rng.integers(10_000, 20_000, k)])).astype(np.uint64) for c in centre for k in rng.integers(0, 14, 40)]
+    rows = spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in enumerate(sets)], "set_hash long, shingles binary")
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    want = list(range(len(sets)))
+    for a, b in near:
+        x, y = want[a], want[b]
+        want = [min(x, y) if r in (x, y) else r for r in want]
+    for crowd, rounds in ((16, 0), (16, 2)):
+        edges, smaller = minhash.spread(rows.selectExpr("7L AS key", "set_hash"), rows, 0.8, crowd, rounds)
+        edges = [(r.a, r.b) for part in edges for r in part.collect()]
+        held = {}
+        for n, part in enumerate(smaller):
+            for r in part.collect():
+                held.setdefault((n, r.key), []).append(r.set_hash)
+        assert max(map(len, held.values()), default=0) <= 3 * crowd + 8
+        edges += [(own[a], own[b]) for own in held.values() for a, b in minhash.walk([sets[x] for x in own], 0.8)]
+        found = list(range(len(sets)))
+        for a, b in edges:
+            x, y = found[a], found[b]
+            found = [min(x, y) if r in (x, y) else r for r in found]
+        assert found == want and set(edges) | {(b, a) for a, b in edges} <= set(near) | {(b, a) for a, b in near}
+
+
 def test_walk_links_what_brute_force_links():
     rng = np.random.default_rng(8)
     centre = [rng.choice(10_000, 60, replace=False) for _ in range(4)]
